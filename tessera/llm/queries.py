@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import extraction, packing, warc
 from .shared import table
 
 
@@ -17,5 +17,29 @@ def op4_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {"op4_packing": op4_packing}
-ORACLE_SQL: dict[str, str] = {}
+def op2_warc(spark, sf_dir):
+    """Every page written to WARC archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op10_extraction(spark, sf_dir):
+    """The main text of every page."""
+    return extraction.extract_pages(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op2_warc": op2_warc, "op4_packing": op4_packing, "op10_extraction": op10_extraction}
+
+#: Base32 of the SHA-1: hex digits to bits, bits in fives to letters.
+WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS sha FROM pages),
+b AS (SELECT *, list_aggregate(list_transform(range(1, 41), lambda i: right('000' || bin(instr('0123456789abcdef', sha[i]) - 1), 4)), 'string_agg', '') AS bits FROM p),
+d AS (SELECT page_id, html, list_aggregate(list_transform(range(0, 32), lambda i:
+  'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + 16 * CAST(bits[5 * i + 1] AS INT) + 8 * CAST(bits[5 * i + 2] AS INT) + 4 * CAST(bits[5 * i + 3] AS INT) + 2 * CAST(bits[5 * i + 4] AS INT) + CAST(bits[5 * i + 5] AS INT)]), 'string_agg', '') AS payload_digest FROM b),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM m
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_warc": WARC_SQL}
