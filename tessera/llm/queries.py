@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from . import extraction, packing, warc
-from .shared import table
+from pyspark.sql import functions as F
+
+from . import extraction, language, packing, quality, topk, warc
+from .shared import crc_of_id, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -17,6 +19,27 @@ def op4_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op1_language(spark, sf_dir):
+    """The language of every whole document, learned from three quarters of the ids."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(crc_of_id() % 4 == 2, F.lit(False))
+    return language.predict(docs, language.train(docs.where(~held_out)), held_out=held_out)
+
+
+def op5_topk(spark, sf_dir):
+    """The five best of all vectors for every vector whose id is divisible by 50."""
+    vectors = topk.usable(table(spark, sf_dir, "embeddings"))
+    return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
+
+
+def op8_quality(spark, sf_dir):
+    """The quality of every whole document, learned from four fifths of the ids."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(crc_of_id() % 5 == 0, F.lit(False))
+    scored = quality.classify(docs, quality.learnable(labels, held_out))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op2_warc(spark, sf_dir):
     """Every page written to WARC archives and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -27,7 +50,7 @@ def op10_extraction(spark, sf_dir):
     return extraction.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op2_warc": op2_warc, "op4_packing": op4_packing, "op10_extraction": op10_extraction}
+QUERIES = {"op1_language": op1_language, "op5_topk": op5_topk, "op8_quality": op8_quality, "op2_warc": op2_warc, "op4_packing": op4_packing, "op10_extraction": op10_extraction}
 
 #: Base32 of the SHA-1: hex digits to bits, bits in fives to letters.
 WARC_SQL = """
@@ -42,4 +65,14 @@ SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, pay
 FROM m
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": WARC_SQL}
+#: Integer components, then every query against every other row.
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INT) AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_warc": WARC_SQL, "op5_topk": TOPK_SQL}

@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -55,8 +57,24 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package's source to the Python workers, once a session, so that no installation is needed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessera_shipped", False):
+        return
+    top = Path(__file__).resolve().parents[1]
+    folder = tempfile.mkdtemp(prefix="tessera-src-")
+    name = f"{folder}/{top.name}-{uuid.uuid4().hex[:8]}.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for f in top.rglob("*.py"):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(name)
+    sc._tessera_shipped = True
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, unless the session asks for fewer."""
+    """Ready for Python operators: ship the package, bound the rows of an Arrow batch."""
+    ship_package(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
