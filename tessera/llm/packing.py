@@ -15,7 +15,10 @@ are separate documents; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
+import unicodedata
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -27,44 +30,84 @@ from .shared import arrow_schema, small_batches, staged
 
 CAPACITY = 2048
 #: Chunks kept per worker; the cache is emptied beyond it, so memory stays bounded.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 800_000
 #: Pieces that one rank-numbering group holds on average at most.
 RANK_GROUP = 2_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+class Chunks(dict):
+    """Ids of white-space separated chunks, computed when first asked for."""
+
+    #: A word of letters, or one with marks after it, none an apostrophe.
+    WORD = re.compile(r"([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+
+    def __init__(self, tok):
+        super().__init__()
+        import tiktoken
+
+        self.tok = tok
+        self.piece = None
+        vocab = tok.get_vocab()
+        order = [t for t in sorted(vocab, key=vocab.get) if not t.startswith("<|")]
+        back = {chr(c): b for b, c in byte_letters().items()}
+        # merged ids ascend with merge rank and the end of a word is a suffix: a byte that UTF-8 lacks stands for it
+        if [vocab[t] for t in order] == list(range(len(order))) and sum(t.endswith("</w>") for t in order[:512]) == 256:
+            ranks = {bytes(back[c] for c in t.removesuffix("</w>")) + b"\xff" * t.endswith("</w>"): vocab[t] for t in order}
+            if len(ranks) == len(order):
+                self.piece = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+
+    def __missing__(self, chunk: str) -> bytes:
+        m = self.WORD.fullmatch(chunk)
+        if m and self.piece and (chunk.isascii() or m[1].isalpha() and len(m[1].lower()) == len(m[1]) and unicodedata.is_normalized("NFC", chunk)):
+            found = array("I", self.piece("".join(map(str.lower, m[1])).encode() + b"\xff")).tobytes()
+            if m[2]:
+                found += self.marks(m[2])
+        else:
+            found = whole(self.tok, [chunk])[0]
+        self[chunk] = found
+        return found
+
+    def marks(self, run: str) -> bytes:
+        if (found := self.get(run)) is None:
+            found = self[run] = whole(self.tok, [run])[0]
+        return found
+
+
+def byte_letters() -> dict[int, int]:
+    """The code point that stands for each byte in byte-level vocabularies."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+def whole(tok, texts: list[str]) -> list[bytes]:
+    return [np.array(e.ids, dtype="<u4").tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+
 class ChunkTokenizer:
     """Token ids of whole texts, through a cache of white-space separated chunks.
 
-    Valid for tokenizers whose pre-tokenizer never joins characters across white space
-    and drops it, as ``word_bpe_49k.json`` does; each chunk's ids then don't depend on its
-    neighbours.  Texts with separators on which Python and the tokenizer's regular
+    Valid for tokenizers that lower-case, never join characters across white space and
+    split letters from marks, as ``word_bpe_49k.json`` does; each chunk's ids then don't depend
+    on its neighbours.  Texts with separators on which Python and the tokenizer's regular
     expression disagree are encoded whole.
     """
 
-    ODD = str.maketrans("", "", "\x1c\x1d\x1e\x1f")
+    ODD = re.compile("[\x1c-\x1f]")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tok.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+        self.cache = Chunks(self.tok)
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        chunks = [None if len(t) != len(t.translate(self.ODD)) else t.split() for t in texts]
         if len(self.cache) > CACHE_CHUNKS:
             self.cache.clear()
-        new = list({c for cs in chunks if cs for c in cs} - self.cache.keys())
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            self.cache.update(zip(part, self._encode(part), strict=True))
-        get = self.cache.__getitem__
-        return [self._encode([t])[0] if cs is None else b"".join(map(get, cs)) for t, cs in zip(texts, chunks, strict=True)]
+        odd, get = self.ODD.search, self.cache.__getitem__
+        return [whole(self.tok, [t])[0] if odd(t) else b"".join(map(get, t.split())) for t in texts]
 
 
 _tokenizers: dict[str, ChunkTokenizer] = {}
