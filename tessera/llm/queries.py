@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import extraction, language, packing, quality, topk, warc
+from . import extraction, language, neardup, packing, quality, topk, warc
 from .shared import crc_of_id, table
 
 
@@ -26,6 +26,11 @@ def op1_language(spark, sf_dir):
     return language.predict(docs, language.train(docs.where(~held_out)), held_out=held_out)
 
 
+def op3_neardup(spark, sf_dir):
+    """Components of documents that share 85 of 100 three-word shingles."""
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op5_topk(spark, sf_dir):
     """The five best of all vectors for every vector whose id is divisible by 50."""
     vectors = topk.usable(table(spark, sf_dir, "embeddings"))
@@ -50,7 +55,7 @@ def op10_extraction(spark, sf_dir):
     return extraction.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_language": op1_language, "op5_topk": op5_topk, "op8_quality": op8_quality, "op2_warc": op2_warc, "op4_packing": op4_packing, "op10_extraction": op10_extraction}
+QUERIES = {"op1_language": op1_language, "op3_neardup": op3_neardup, "op5_topk": op5_topk, "op8_quality": op8_quality, "op2_warc": op2_warc, "op4_packing": op4_packing, "op10_extraction": op10_extraction}
 
 #: Base32 of the SHA-1: hex digits to bits, bits in fives to letters.
 WARC_SQL = """
