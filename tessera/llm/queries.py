@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import extraction, language, neardup, packing, quality, topk, warc
+from . import extraction, language, neardup, ordermin, packing, quality, topk, warc
 from .shared import crc_of_id, table
 
 
@@ -45,6 +45,11 @@ def op8_quality(spark, sf_dir):
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op9_fingerprints(spark, sf_dir):
+    """Order min-hash fingerprints of every whole document and its edited text."""
+    return ordermin.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark, sf_dir):
     """Every page written to WARC archives and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages"))
@@ -55,7 +60,7 @@ def op10_extraction(spark, sf_dir):
     return extraction.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_language": op1_language, "op3_neardup": op3_neardup, "op5_topk": op5_topk, "op8_quality": op8_quality, "op2_warc": op2_warc, "op4_packing": op4_packing, "op10_extraction": op10_extraction}
+QUERIES = {"op1_language": op1_language, "op3_neardup": op3_neardup, "op5_topk": op5_topk, "op8_quality": op8_quality, "op2_warc": op2_warc, "op4_packing": op4_packing, "op9_fingerprints": op9_fingerprints, "op10_extraction": op10_extraction}
 
 #: Base32 of the SHA-1: hex digits to bits, bits in fives to letters.
 WARC_SQL = """
