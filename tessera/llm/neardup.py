@@ -10,7 +10,8 @@ Documents of one set are one class; only classes are compared.  Bands of the sig
 candidates.  In every bucket each class is first compared with the bucket's first class only, so a
 large group costs as many comparisons as it has members.  Components follow from the
 confirmed links; after that, pairs of a bucket that still lie in different components are all
-compared, so no link that banding can see is lost.  Every link is confirmed on full sets.
+compared unless an exact bound rules them out, so no link that banding can see is lost.  Every
+link is confirmed on full sets.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; shorter
 texts than one shingle count as one shingle of all their words; repeated rows are copies of
@@ -36,8 +37,6 @@ STEP = 1 << 22
 BROADCAST_IDS = 500_000
 #: Links that one task contracts at most; more go through distributed star rounds.
 LOCAL_LINKS = 2_000_000
-#: Rounds with one class per bucket before all pairs across components are compared.
-STAR_ROUNDS = 6
 
 _rng = np.random.default_rng(20240229)
 TABLE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
@@ -284,55 +283,50 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
-def link_classes(docs: DataFrame, signed: DataFrame, words: int, percent: int, local_links: int = LOCAL_LINKS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
-    """node and root of every linked class of ``signed`` (staged)."""
+def own_shingles(sets: DataFrame, keys: DataFrame) -> DataFrame:
+    """For each of ``keys`` (key): ``own``, how many of its shingles no other of them has."""
+    shingles = sets.join(keys, "key", "left_semi").select("key", F.explode("shingles").alias("x"))
+    alone = shingles.groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("key")).where("c = 1")
+    return alone.groupBy("key").agg(F.count(F.lit(1)).alias("own"))
+
+
+def link_classes(docs: DataFrame, signed: DataFrame, words: int, percent: int, local_links: int = LOCAL_LINKS) -> DataFrame:
+    """node and root of every linked class of ``signed`` (staged).
+
+    First every class of a bucket is compared with one class of it.  Then all pairs of a bucket in
+    different components are compared, unless their sizes or the shingles that each has alone among
+    those still open prove that they are not similar enough.  Both tests are exact bounds: what
+    two sets share is at most what the smaller one does not have alone.
+    """
     classes = signed.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    rows = staged(classes.select("key", "rep", "n", F.explode("bands").alias("bucket")), "bands")
-    shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    members = staged(rows.where("rep is not null").join(shared, "bucket").select("bucket", "key", "rep", "n"), "members")
+    rows = staged(classes.where("rep is not null").select("key", "rep", "n", F.explode("bands").alias("bucket")), "bands")
+    first = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("key", "bucket"), "key", "n")).alias("f")).where("size > 1")
+    members = staged(rows.join(first, "bucket").select("bucket", "key", "rep", "n", F.col("f.key").alias("key1"), F.col("f.n").alias("n1")), "members")
     ids = staged(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
     sets = staged(full_sets(docs, ids, words).join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "sets")
     alike = F.least("n", "n1") * 100 >= F.greatest("n", "n1") * percent
-    links = checked = roots = None
-    for turn in range(star_rounds + 1):
-        now = members
-        if roots is not None:
-            now = members.join(roots, members["key"] == roots["node"], "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root"))
-            per = now.groupBy("bucket", "root").agg(F.count(F.lit(1)).cast("double").alias("c")).groupBy("bucket").agg(F.sum("c").alias("t"), F.sum(F.col("c") * F.col("c")).alias("s"), F.count(F.lit(1)).alias("r"))
-            open_ = staged(per.where("r > 1").select("bucket", ((F.col("t") * F.col("t") - F.col("s")) / 2).alias("pairs"), "t"), "open")
-            left, size = open_.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("t"), F.lit(0.0))).first()
-            if left == 0:
-                break
-            now = staged(now.join(open_.select("bucket"), "bucket"), "open-members")
-            every = left <= 20 * size or turn == star_rounds
-        else:
-            now, every = now.withColumn("root", F.col("key")), False
-        if every:
-            one = now.select("bucket", F.col("key").alias("key1"), F.col("n").alias("n1"), F.col("root").alias("root1"))
-            pairs = now.join(one, "bucket").where((F.col("key1") < F.col("key")) & (F.col("root1") != F.col("root")) & alike)
-        else:
-            first = now.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)), "key", "n", "root")).alias("f"))
-            one = first.select("bucket", F.col("f.key").alias("key1"), F.col("f.n").alias("n1"), F.col("f.root").alias("root1"))
-            pairs = now.join(one, "bucket").where((F.col("key1") != F.col("key")) & ((F.col("root1") != F.col("root")) if roots is not None else F.lit(True)) & alike)
-        pairs = pairs.select(F.col("key1").alias("a"), F.col("key").alias("b")).distinct()
-        if checked is not None:
-            done = checked.unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "pairs")
-        new = staged(confirmed(pairs, sets, percent), "confirmed")
-        links = new if links is None else links.unionByName(new)
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        roots = staged(components(links, local_links), "roots")
-        if every:
-            break
-    return roots
-
-
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, local_links: int = LOCAL_LINKS, star_rounds: int = STAR_ROUNDS) -> DataFrame:
+    checked = staged(members.where((F.col("key") != F.col("key1")) & alike).select(F.col("key1").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    links = staged(confirmed(checked, sets, percent), "confirmed")
+    roots = staged(components(links, local_links), "roots")
+    now = members.join(roots, members["key"] == roots["node"], "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root"))
+    several = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    now = staged(now.join(several, "bucket", "left_semi"), "open")
+    own = own_shingles(sets, now.select("key").distinct())
+    now = now.join(own, "key", "left").select("bucket", "key", "n", "root", F.coalesce("own", F.lit(0)).alias("own"))
+    one = now.select("bucket", *[F.col(c).alias(f"{c}1") for c in ("key", "n", "root", "own")])
+    common = F.least(F.col("n") - F.col("own"), F.col("n1") - F.col("own1"))
+    possible = common * 100 >= (F.col("n") + F.col("n1") - common) * percent
+    pairs = now.join(one, "bucket").where((F.col("key1") < F.col("key")) & (F.col("root1") != F.col("root")) & alike & possible).select(F.col("key1").alias("a"), F.col("key").alias("b")).distinct()
+    done = checked.unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = staged(confirmed(pairs.join(done, ["a", "b"], "left_anti"), sets, percent), "confirmed")
+    return staged(components(links.unionByName(more), local_links), "roots")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, local_links: int = LOCAL_LINKS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the document that names its component) of every row."""
     bands, rows = next((b, r) for p, b, r in BANDS if percent >= p)
     signed = staged(sign(docs, words, bands, rows), "signed")
-    roots = link_classes(docs, signed, words, percent, local_links, star_rounds)
+    roots = link_classes(docs, signed, words, percent, local_links)
     own = signed.where("n_shingles > 0").select("doc_id", "key", "n_shingles")
     named = own.groupBy("key").agg(F.min("doc_id").alias("rep")).join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", "root")
     # a component's name is the least id of its classes; roots themselves are not in ``roots``
