@@ -337,3 +337,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, local_li
     full = own.join(of_class, "key").select("doc_id", "n_shingles", "component_id")
     empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` (all columns) without all but one of each group of near-duplicates.
+
+    The document with the smallest id stays; of repeated rows of that id one stays.  Rows are
+    joined to the ids that go, so what is kept is whole.
+    """
+    marked = staged(near_duplicates(docs, words, percent), "marked")
+    gone = marked.where("not kept").select("doc_id").distinct()
+    twice = marked.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
+    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    again = rest.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    return rest.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again)

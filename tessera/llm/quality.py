@@ -173,3 +173,28 @@ def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold
 
 def learnable(labels: DataFrame, held_out: Column) -> DataFrame:
     return labels.where(~F.coalesce(held_out, F.lit(False)))
+
+
+def keep_accepted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose whole text the classifier accepts.
+
+    Scoring goes along with the row, so no text is shuffled; statistics for training are computed
+    only for the bounded sample of labelled documents.
+    """
+    small_batches(docs.sparkSession)
+    usable = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
+    n = usable.count()
+    if n > sample:
+        usable = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
+    labelled = docs.join(F.broadcast(usable.select("doc_id").distinct()), "doc_id", "left_semi")
+    model = train(document_statistics(labelled), usable, sample)
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    schema = arrow_schema(ddl := ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            x = np.array([statistics(t or "") for t in b.column(at).to_pylist()], dtype=np.float32).reshape(b.num_rows, len(FEATURES))
+            yield pa.RecordBatch.from_arrays(b.columns, schema=schema).filter(pa.array(held.value.score(x) >= threshold))
+
+    return docs.mapInArrow(run, ddl)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import extraction, language, neardup, ordermin, packing, quality, topk, warc
+from . import extraction, language, lines, neardup, ordermin, packing, quality, topk, warc
 from .shared import crc_of_id, table
 
 
@@ -37,6 +37,18 @@ def op5_topk(spark, sf_dir):
     return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+def op7_lines(spark, sf_dir):
+    """Every document without lines whose template recurs across documents."""
+    return lines.drop_recurring(table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark, sf_dir):
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op8_quality(spark, sf_dir):
     """The quality of every whole document, learned from four fifths of the ids."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -60,7 +72,7 @@ def op10_extraction(spark, sf_dir):
     return extraction.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_language": op1_language, "op3_neardup": op3_neardup, "op5_topk": op5_topk, "op8_quality": op8_quality, "op2_warc": op2_warc, "op4_packing": op4_packing, "op9_fingerprints": op9_fingerprints, "op10_extraction": op10_extraction}
+QUERIES = {"op1_language": op1_language, "op3_neardup": op3_neardup, "op5_topk": op5_topk, "op7_lines": op7_lines, "op8_quality": op8_quality, "op2_warc": op2_warc, "op4_packing": op4_packing, "op9_fingerprints": op9_fingerprints, "op10_extraction": op10_extraction, "pipeline": pipeline}
 
 #: Base32 of the SHA-1: hex digits to bits, bits in fives to letters.
 WARC_SQL = """
