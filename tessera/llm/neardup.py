@@ -7,10 +7,10 @@ drawn for a batch of documents together and stop for a document as soon as its l
 is below the level (early stopping).
 
 Documents of one set are one class; only classes are compared.  Bands of the signature give
-candidates.  In every bucket each class is first compared with the bucket's first class only, so a
-large group costs as many comparisons as it has members.  Components follow from the
-confirmed links; after that, pairs of a bucket that still lie in different components are all
-compared unless an exact bound rules them out, so no link that banding can see is lost.  Every
+candidates.  In every bucket each class is first compared with two of the bucket's classes only, so a
+large group costs twice as many comparisons as it has members.  Components follow from the
+confirmed links; after that, classes of buckets that still hold several components are all
+compared unless an exact bound rules a pair out, so no link that banding can see is lost.  Every
 link is confirmed on full sets.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; shorter
@@ -283,42 +283,51 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sb") - F.col("common"))).select("a", "b")
 
 
-def own_shingles(sets: DataFrame, keys: DataFrame) -> DataFrame:
-    """For each of ``keys`` (key): ``own``, how many of its shingles no other of them has."""
-    shingles = sets.join(keys, "key", "left_semi").select("key", F.explode("shingles").alias("x"))
-    alone = shingles.groupBy("x").agg(F.count(F.lit(1)).alias("c"), F.min("key").alias("key")).where("c = 1")
-    return alone.groupBy("key").agg(F.count(F.lit(1)).alias("own"))
+def possible_pairs(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``open_`` (key, n, root), of different roots, that exact bounds don't rule out.
+
+    Shingles are ordered from rare to common among the open classes.  Two sets that are similar
+    enough share one of their first n - ceil(n * percent / 100) + 1 shingles (prefix filter), and
+    what they can share after the places of the first one in common is enough (positional filter).
+    """
+    shingles = sets.join(open_, "key").select("key", "n", "root", F.explode("shingles").alias("x"))
+    common = shingles.groupBy("x").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    ordered = shingles.join(common, "x").groupBy("key", "n", "root").agg(F.sort_array(F.collect_list(F.struct("c", "x"))).alias("s"))
+    ordered = ordered.withColumn("own", F.col("n") - F.size("s"))  # shingles that no other has come first
+    first = F.expr(f"slice(s, 1, cast(greatest(0, n - ceil(n * {percent} / 100) + 1 - own) as int))")
+    rows = ordered.select("key", "n", "root", "own", F.posexplode(first).alias("i", "f")).select("key", "n", "root", "own", (F.col("own") + F.col("i")).alias("i"), F.col("f.x").alias("x"))
+    one = rows.select("x", *[F.col(c).alias(f"{c}1") for c in ("key", "n", "root", "own", "i")])
+    most = F.least(F.col("n") - F.greatest("i", "own"), F.col("n1") - F.greatest("i1", "own1"))
+    enough = most * 100 >= (F.col("n") + F.col("n1") - most) * percent
+    pairs = rows.join(one, "x").where((F.col("key1") < F.col("key")) & (F.col("root1") != F.col("root")) & enough)
+    return pairs.select(F.col("key1").alias("a"), F.col("key").alias("b")).distinct()
 
 
 def link_classes(docs: DataFrame, signed: DataFrame, words: int, percent: int, local_links: int = LOCAL_LINKS) -> DataFrame:
     """node and root of every linked class of ``signed`` (staged).
 
-    First every class of a bucket is compared with one class of it.  Then all pairs of a bucket in
-    different components are compared, unless their sizes or the shingles that each has alone among
-    those still open prove that they are not similar enough.  Both tests are exact bounds: what
-    two sets share is at most what the smaller one does not have alone.
+    First every class of a bucket is compared with two classes of it.  Classes of buckets that then still
+    hold several components are open; their pairs in different components are compared unless
+    exact bounds rule them out.
     """
     classes = signed.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     rows = staged(classes.where("rep is not null").select("key", "rep", "n", F.explode("bands").alias("bucket")), "bands")
-    first = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("key", "bucket"), "key", "n")).alias("f")).where("size > 1")
-    members = staged(rows.join(first, "bucket").select("bucket", "key", "rep", "n", F.col("f.key").alias("key1"), F.col("f.n").alias("n1")), "members")
+    order = F.struct(F.xxhash64("key", "bucket"), "key", "n")
+    first = rows.groupBy("bucket").agg(F.min(order).alias("f"), F.max(order).alias("g")).where("f.key <> g.key")
+    members = staged(rows.join(first, "bucket").select("bucket", "key", "rep", "n", F.array("f", "g").alias("hubs")), "members")
     ids = staged(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
     sets = staged(full_sets(docs, ids, words).join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "sets")
     alike = F.least("n", "n1") * 100 >= F.greatest("n", "n1") * percent
-    checked = staged(members.where((F.col("key") != F.col("key1")) & alike).select(F.col("key1").alias("a"), F.col("key").alias("b")).distinct(), "pairs")
+    hubs = members.select("key", "n", F.explode("hubs").alias("h")).select("key", "n", F.col("h.key").alias("key1"), F.col("h.n").alias("n1"))
+    checked = staged(hubs.where((F.col("key") != F.col("key1")) & alike).select(F.greatest("key1", "key").alias("b"), F.least("key", "key1").alias("a")).distinct(), "pairs")
     links = staged(confirmed(checked, sets, percent), "confirmed")
     roots = staged(components(links, local_links), "roots")
     now = members.join(roots, members["key"] == roots["node"], "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root"))
     several = now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    now = staged(now.join(several, "bucket", "left_semi"), "open")
-    own = own_shingles(sets, now.select("key").distinct())
-    now = now.join(own, "key", "left").select("bucket", "key", "n", "root", F.coalesce("own", F.lit(0)).alias("own"))
-    one = now.select("bucket", *[F.col(c).alias(f"{c}1") for c in ("key", "n", "root", "own")])
-    common = F.least(F.col("n") - F.col("own"), F.col("n1") - F.col("own1"))
-    possible = common * 100 >= (F.col("n") + F.col("n1") - common) * percent
-    pairs = now.join(one, "bucket").where((F.col("key1") < F.col("key")) & (F.col("root1") != F.col("root")) & alike & possible).select(F.col("key1").alias("a"), F.col("key").alias("b")).distinct()
-    done = checked.unionByName(checked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = staged(confirmed(pairs.join(done, ["a", "b"], "left_anti"), sets, percent), "confirmed")
+    now = staged(now.join(several, "bucket", "left_semi").select("key", "n", "root").distinct(), "open")
+    pairs = possible_pairs(now, sets, percent)
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(checked, ["a", "b"], "left_anti")
+    more = staged(confirmed(pairs, sets, percent), "confirmed")
     return staged(components(links.unionByName(more), local_links), "roots")
 
 
