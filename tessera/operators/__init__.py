@@ -1 +1 @@
-
+"""Reads, writes, SQL and coroutines of entities."""

@@ -1 +1 @@
-
+"""Descriptors, predicates, options, and the planner."""

@@ -1 +1 @@
-
+"""No operator of this library consumes streams; sets compose with ``readStream`` frames through registered sources."""
