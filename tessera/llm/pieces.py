@@ -43,6 +43,8 @@ DRAWS, TRIES = 16, 64
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 PRIME = np.uint64(0x100000001B3)
 BLANK = "▁"
+#: Stands for a blank mark in the text itself; no valid text holds a lone surrogate.
+OWN_MARK = "\ud800"
 UNITS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 
 
@@ -87,26 +89,28 @@ class Vocabulary:
         return h
 
     def normal(self, text: str) -> str:
-        """The text as pieces spell it: blanks marked, one before the first word."""
-        return BLANK + text.replace(" ", BLANK) if text else ""
+        """The text as pieces spell it: blanks marked, one before the first word; a mark of the text itself goes by bytes."""
+        return BLANK + text.replace(BLANK, OWN_MARK).replace(" ", BLANK) if text else ""
 
     def decode(self, ids: list[int]) -> str:
         """The text that pieces spell."""
         text, byte_of = self.text, self.byte_of
         if byte_of.keys().isdisjoint(ids):
-            s = "".join(map(text.__getitem__, ids))
-        else:
-            parts, run = [], bytearray()
-            for i in ids:
-                if i in byte_of:
-                    run.append(byte_of[i])
-                else:
-                    if run:
-                        parts.append(run.decode("utf-8", "replace"))
-                        run = bytearray()
-                    parts.append(text[i])
-            s = "".join(parts) + run.decode("utf-8", "replace")
-        return s.replace(BLANK, " ")[1:]
+            return "".join(map(text.__getitem__, ids)).replace(BLANK, " ")[1:]
+        parts, run = [], bytearray()
+        for i in ids:
+            if i in byte_of:
+                run.append(byte_of[i])
+            else:
+                if run:
+                    parts.append(run.decode("utf-8", "replace"))
+                    run = bytearray()
+                parts.append(text[i].replace(BLANK, " "))
+        return ("".join(parts) + run.decode("utf-8", "replace"))[1:]
+
+    def bytes_of(self, code: int) -> list[int]:
+        """The byte pieces of a code point."""
+        return self.byte[list((BLANK if chr(code) == OWN_MARK else chr(code)).encode())].tolist()
 
     def encode(self, text: str) -> list[int]:
         """The model's own segmentation."""
@@ -339,7 +343,7 @@ class Sampler:
                     t = cut + 1
             ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
             if (ids < 0).any():
-                ids = np.array([x for i in ids.tolist() for x in ([i] if i >= 0 else self.v.byte[list(chr(-1 - i).encode("utf-8", "surrogatepass"))].tolist())], dtype=np.int32)
+                ids = np.array([x for i in ids.tolist() for x in ([i] if i >= 0 else self.v.bytes_of(-1 - i))], dtype=np.int32)
             log_p = float(p.log_p.sum())
             out.append((ids, log_p, 1.0 if rest == -np.inf else float(-np.expm1(-np.exp(log_p - rest)))))
         return out

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import extraction, language, lines, neardup, ordermin, packing, quality, topk, warc
+from . import extraction, language, lines, neardup, ordermin, packing, pieces, quality, topk, warc
 from .shared import crc_of_id, table
 
 
@@ -37,6 +37,11 @@ def op5_topk(spark, sf_dir):
     return topk.search(vectors, vectors.where(F.col("vec_id") % 50 == 0), 5)
 
 
+def op6_pieces(spark, sf_dir):
+    """Distinct sampled segmentations of every whole document, without replacement."""
+    return pieces.sample_segmentations(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+
+
 def op7_lines(spark, sf_dir):
     """Every document without lines whose template recurs across documents."""
     return lines.drop_recurring(table(spark, sf_dir, "documents"))
@@ -72,7 +77,7 @@ def op10_extraction(spark, sf_dir):
     return extraction.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op1_language": op1_language, "op3_neardup": op3_neardup, "op5_topk": op5_topk, "op7_lines": op7_lines, "op8_quality": op8_quality, "op2_warc": op2_warc, "op4_packing": op4_packing, "op9_fingerprints": op9_fingerprints, "op10_extraction": op10_extraction, "pipeline": pipeline}
+QUERIES = {"op1_language": op1_language, "op3_neardup": op3_neardup, "op5_topk": op5_topk, "op6_pieces": op6_pieces, "op7_lines": op7_lines, "op8_quality": op8_quality, "op2_warc": op2_warc, "op4_packing": op4_packing, "op9_fingerprints": op9_fingerprints, "op10_extraction": op10_extraction, "pipeline": pipeline}
 
 #: Base32 of the SHA-1: hex digits to bits, bits in fives to letters.
 WARC_SQL = """
