@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ SAMPLES = 2
 ALPHA = 1.0
 #: Characters whose lattices are held at once.
 STEP = 1 << 21
+#: Characters of distinct units whose lattices a task keeps at most, besides those of one slice.
+CACHE_CHARS = 1 << 20
 #: Units up to this length are grouped by exact length, longer ones by multiples of 8.
 EXACT = 16
 LEAST_MASS = 1e-6
@@ -53,6 +56,27 @@ def uniform(key: np.ndarray) -> np.ndarray:
     return (mix64(key) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
 
 
+class Numbers(dict):
+    """Numbers what is asked for, in order of first sight."""
+
+    def __missing__(self, unit: str) -> int:
+        n = self[unit] = len(self)
+        return n
+
+
+class Spelled(dict):
+    """The byte pieces of negative pieces (-1 - code point)."""
+
+    def __init__(self, byte: np.ndarray):
+        super().__init__()
+        self.byte = byte
+
+    def __missing__(self, piece: int) -> np.ndarray:
+        c = chr(-1 - piece)
+        out = self[piece] = self.byte[list((BLANK if c == OWN_MARK else c).encode())]
+        return out
+
+
 class Vocabulary:
     """Pieces of a SentencePiece model, to look up substrings and to decode."""
 
@@ -71,23 +95,27 @@ class Vocabulary:
                 self.byte_of[i] = int(t[3:5], 16)
             elif not (self.sp.is_control(i) or self.sp.is_unknown(i)) and len(UNITS.findall(t)) == 1:
                 own.append(i)
+        self.spelled = Spelled(self.byte)
         rank = np.arange(len(own))
         logs = -alpha * np.log(rank + 2.0)
         self.byte_weight = float(-alpha * np.log(len(own) + 2.0) * 2)
         self.longest = max(len(self.text[i]) for i in own)
-        h = np.array([self.hash(self.text[i]) for i in own], dtype=np.uint64)
+        # every prefix of a piece, so that a lookup ends where no piece goes on; rank -1: no piece itself
+        of: dict[str, int] = {}
+        for k, i in enumerate(own):
+            for n in range(1, len(self.text[i])):
+                of.setdefault(self.text[i][:n], -1)
+            of[self.text[i]] = k
+        known: dict[str, int] = {"": 0}
+        for t in sorted(of, key=len):
+            known[t] = (known[t[:-1]] * int(PRIME) + ord(t[-1]) + 1) & (2**64 - 1)
+        h = np.array([known[t] for t in of], dtype=np.uint64)
         order = np.argsort(h)
-        self.hashes, self.ids, self.weights = h[order], np.array(own)[order], logs[order].astype(np.float32)
-        if len(np.unique(self.hashes)) != len(own):
+        self.hashes, self.ranks = h[order], np.array(list(of.values()))[order]
+        self.ids, self.weights = np.array(own), logs.astype(np.float32)
+        if len(np.unique(self.hashes)) != len(of):
             raise ValueError("piece hashes collide")
 
-    @staticmethod
-    def hash(t: str) -> int:
-        h = 0
-        for c in t:
-            h = (h * int(PRIME) + ord(c) + 1) & (2**64 - 1)
-        return h
-
     def normal(self, text: str) -> str:
         """The text as pieces spell it: blanks marked, one before the first word; a mark of the text itself goes by bytes."""
         return BLANK + text.replace(BLANK, OWN_MARK).replace(" ", BLANK) if text else ""
@@ -108,9 +136,15 @@ class Vocabulary:
                 parts.append(text[i].replace(BLANK, " "))
         return ("".join(parts) + run.decode("utf-8", "replace"))[1:]
 
-    def bytes_of(self, code: int) -> list[int]:
-        """The byte pieces of a code point."""
-        return self.byte[list((BLANK if chr(code) == OWN_MARK else chr(code)).encode())].tolist()
+    def with_bytes(self, ids: np.ndarray) -> np.ndarray:
+        """Pieces with each negative one (-1 - code point) replaced by its byte pieces."""
+        at = np.flatnonzero(ids < 0)
+        own = list(map(self.spelled.__getitem__, ids[at].tolist()))
+        size = np.ones(len(ids), dtype=np.int64)
+        size[at] = list(map(len, own))
+        out = np.repeat(ids, size)
+        out[np.repeat(ids < 0, size)] = np.concatenate(own)
+        return out
 
     def encode(self, text: str) -> list[int]:
         """The model's own segmentation."""
@@ -120,46 +154,52 @@ class Vocabulary:
 class Lattices:
     """Forward sums and backward choices of units of similar length, and sampling from them."""
 
-    def __init__(self, vocabulary: Vocabulary, units: list[str]):
-        self.v = vocabulary
-        n = len(units)
+    def __init__(self, vocabulary: Vocabulary, units: list[str], width: int):
+        n, most = len(units), min(width, vocabulary.longest)
         self.length = np.array([len(u) for u in units])
-        width, most = int(self.length.max()), min(int(self.length.max()), vocabulary.longest)
-        codes = np.zeros((n, width), dtype=np.uint32)
+        codes = np.zeros((n, width + 1), dtype=np.int64)  # 0 ends a unit
         flat = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        codes[np.arange(width)[None, :] < self.length[:, None]] = flat
-        self.codes = codes
+        codes[np.arange(width + 1)[None, :] < self.length[:, None]] = flat.astype(np.int64) + 1
         edge = np.full((n, width + 1, most), -np.inf, dtype=np.float32)  # by end and length
         ids = np.zeros((n, width + 1, most), dtype=np.int32)
-        h = np.zeros((n, width), dtype=np.uint64)
-        c = codes.astype(np.uint64) + np.uint64(1)
+        edge_at, id_at, c = edge.reshape(-1, most), ids.reshape(-1, most), codes.reshape(-1).astype(np.uint64)
+        start = np.flatnonzero(codes)
+        h = c[start]
         for k in range(most):
-            m = width - k
-            with np.errstate(over="ignore"):
-                h = h[:, :m] * PRIME + c[:, k:]
             at = np.minimum(np.searchsorted(vocabulary.hashes, h), len(vocabulary.hashes) - 1)
             hit = vocabulary.hashes[at] == h
-            edge[:, k + 1 :, k] = np.where(hit, vocabulary.weights[at], -np.inf)
-            ids[:, k + 1 :, k] = vocabulary.ids[at]
-            if k == 0:
-                lost = ~hit
-                if lost.any():
-                    size = 1 + (codes > 0x7F).astype(np.int32) + (codes > 0x7FF) + (codes > 0xFFFF)
-                    edge[:, 1:, 0] = np.where(lost, vocabulary.byte_weight * size, edge[:, 1:, 0])
-                    ids[:, 1:, 0] = np.where(lost, -1 - codes.astype(np.int32), ids[:, 1:, 0])
+            rank = np.where(hit, vocabulary.ranks[at], -1)
+            own = rank >= 0
+            edge_at[start[own] + k + 1, k] = vocabulary.weights[rank[own]]
+            id_at[start[own] + k + 1, k] = vocabulary.ids[rank[own]]
+            if k == 0 and not own.all():
+                lost = start[~own]
+                code = codes.reshape(-1)[lost] - 1
+                size = 1 + (code > 0x7F).astype(np.int32) + (code > 0x7FF) + (code > 0xFFFF)
+                edge_at[lost + 1, 0], id_at[lost + 1, 0] = vocabulary.byte_weight * size, -1 - code
+            start, h = start[hit], h[hit]
+            if len(start) == 0:
+                break
+            with np.errstate(over="ignore"):
+                h = h * PRIME + c[np.minimum(start + k + 1, len(c) - 1)]
         total = np.zeros((n, width + 1))
         cumulative = np.zeros((n, width + 1, most), dtype=np.float32)
         for j in range(1, width + 1):
             k = min(j, most)
             x = total[:, j - k : j][:, ::-1] + edge[:, j, :k]
             top = x.max(axis=1, keepdims=True)
-            p = np.exp(x - top)
-            s = p.sum(axis=1)
+            top[np.isneginf(top)] = 0.0  # beyond the unit's end
+            p = np.exp((x - top).astype(np.float32))
+            s = np.maximum(p.sum(axis=1), np.float32(1e-30))
             total[:, j] = top[:, 0] + np.log(s)
             cumulative[:, j, :k] = np.cumsum(p / s[:, None], axis=1)
             cumulative[:, j, k - 1 :] = 1.0
         self.edge, self.ids, self.total, self.cumulative = edge, ids, total, cumulative
 
+    def extend(self, other: Lattices) -> None:
+        for name in ("length", "edge", "ids", "total", "cumulative"):
+            setattr(self, name, np.concatenate([getattr(self, name), getattr(other, name)]))
+
     def sample(self, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each draw: pieces from last to first (negative: a character by bytes), how many, log probability."""
         n, width = len(unit), self.cumulative.shape[1] - 1
@@ -170,9 +210,8 @@ class Lattices:
         live = np.arange(n)
         for step in range(width):
             u, j = unit[live], at[live]
-            c = self.cumulative[u, j]
-            r = uniform(key[live] + np.uint64(step) * PRIME).astype(np.float32)
-            k = np.minimum((c < r[:, None]).sum(axis=1), c.shape[1] - 1)
+            r = np.minimum(uniform(key[live] + np.uint64(step) * PRIME).astype(np.float32), np.float32(1.0))
+            k = (self.cumulative[u, j] >= r[:, None]).argmax(axis=1)
             log_p[live] += self.edge[u, j, k]
             out[live, step] = self.ids[u, j, k]
             count[live] += 1
@@ -210,24 +249,47 @@ class Sampler:
 
     def __init__(self, vocabulary: Vocabulary, samples: int = SAMPLES, seed: int = 0):
         self.v, self.k, self.seed = vocabulary, samples, seed
-
-    def groups(self, units: dict[str, int]) -> None:
-        names = list(units)
-        length = np.array([len(u) for u in names])
-        group = np.where(length <= EXACT, length, -(-length // 8) * 8)
-        self.group, self.row = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64)
-        self.lattices = []
-        for g in np.unique(group):
-            at = np.flatnonzero(group == g)
-            self.group[at], self.row[at] = len(self.lattices), np.arange(len(at))
-            self.lattices.append(Lattices(self.v, [names[i] for i in at]))
-
-    def draw(self, unit: np.ndarray, key: np.ndarray):
-        """Flat pieces in text order, bounds of each draw's, and log probabilities."""
+        self.forget()
+
+    def forget(self) -> None:
+        self.known = Numbers()
+        self.group, self.row, self.held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
+        self.lattices: list[Lattices] = []
+        self.widths: dict[int, int] = {}
+
+    def numbers(self, texts: list[str]) -> list[list[int]]:
+        """The units of each text by number; lattices of units not seen before are added."""
+        if self.held > CACHE_CHARS:
+            self.forget()
+        known, old = self.known, len(self.known)
+        per_doc = [list(map(known.__getitem__, UNITS.findall(self.v.normal(t)))) for t in texts]
+        names = list(islice(known, old, None))
+        length = np.array([len(u) for u in names], dtype=np.int64)
+        self.held += int(length.sum())
+        widths = np.where(length <= EXACT, length, -(-length // 8) * 8)
+        group, row = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64)
+        for w in np.unique(widths).tolist():
+            at = np.flatnonzero(widths == w)
+            own = Lattices(self.v, [names[i] for i in at], w)
+            g = self.widths.setdefault(w, len(self.lattices))
+            first = 0
+            if g == len(self.lattices):
+                self.lattices.append(own)
+            else:
+                first = len(self.lattices[g].length)
+                self.lattices[g].extend(own)
+            group[at], row[at] = g, first + np.arange(len(at))
+        self.group, self.row = np.concatenate([self.group, group]), np.concatenate([self.row, row])
+        return per_doc
+
+    def draw(self, unit: np.ndarray, key: np.ndarray, wanted: np.ndarray | None = None):
+        """Flat pieces in text order, bounds of each draw's, and log probabilities; only those ``wanted`` are drawn."""
         parts, count, log_p = [], np.zeros(len(unit), dtype=np.int64), np.zeros(len(unit))
-        group = self.group[unit]
+        at = np.arange(len(unit)) if wanted is None else np.flatnonzero(wanted)
+        group = self.group[unit[at]]
         order = np.argsort(group, kind="stable")
         cuts = np.searchsorted(group[order], np.arange(len(self.lattices) + 1))
+        order = at[order]
         for g, lattice in enumerate(self.lattices):
             at = order[cuts[g] : cuts[g + 1]]
             if len(at):
@@ -248,16 +310,13 @@ class Sampler:
 
     def __call__(self, texts: list[str], row_keys: list[str]) -> list[list[tuple[np.ndarray, float, float]]]:
         """For each text its samples: pieces, log probability, inclusion probability."""
-        known: dict[str, int] = {}
-        per_doc = [[known.setdefault(u, len(known)) for u in UNITS.findall(self.v.normal(t))] for t in texts]
-        sizes = np.array([len(x) for x in per_doc])
+        per_doc = self.numbers(texts)
+        sizes = np.array(list(map(len, per_doc)), dtype=np.int64)
         starts = np.concatenate([[0], np.cumsum(sizes)])
-        unit = np.array([i for x in per_doc for i in x], dtype=np.int64)
+        unit = np.fromiter(chain.from_iterable(per_doc), dtype=np.int64, count=int(sizes.sum()))
         doc_seed = np.array([xxhash.xxh3_64_intdigest(k, self.seed) for k in row_keys], dtype=np.uint64)
-        if known:
-            self.groups(known)
         seeds, number = np.repeat(doc_seed, sizes), np.arange(len(unit)) - np.repeat(starts[:-1], sizes)
-        draws = [self.draw(unit, self.keys(seeds, number, j)) for j in range(self.k)] if known else []
+        draws = [self.draw(unit, self.keys(seeds, number, 0))]
         bound_draws = [uniform(self.keys(seeds, number, 1000 + j)) for j in range(self.k)]
         again = uniform(self.keys(np.repeat(doc_seed, self.k), np.tile(np.arange(self.k), len(texts)), 2000)).reshape(-1, self.k)
         roots = -np.log(-np.log(uniform(self.keys(doc_seed, np.zeros(len(texts)), 3000))))
@@ -277,6 +336,10 @@ class Sampler:
                 if len(own) == j and best[0] > -np.inf:
                     nodes[d] = (best[0], best[1], int(own[best[1]].bounds.argmax()))
             found = self.others(paths, nodes, starts, unit, doc_seed, draws, j)
+            wanted = np.zeros(len(unit), dtype=bool)
+            for d in found:
+                wanted[starts[d] + nodes[d][2] : starts[d + 1]] = True
+            draws.append(self.draw(unit, self.keys(seeds, number, j), wanted))
             for d, (bound, i, t) in nodes.items():
                 p, a, z = paths[d][i], starts[d], starts[d + 1]
                 if d not in found:
@@ -343,7 +406,7 @@ class Sampler:
                     t = cut + 1
             ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int32)
             if (ids < 0).any():
-                ids = np.array([x for i in ids.tolist() for x in ([i] if i >= 0 else self.v.bytes_of(-1 - i))], dtype=np.int32)
+                ids = self.v.with_bytes(ids)
             log_p = float(p.log_p.sum())
             out.append((ids, log_p, 1.0 if rest == -np.inf else float(-np.expm1(-np.exp(log_p - rest)))))
         return out
