@@ -5,10 +5,12 @@ are masked as variable.  Below that, templates generalise one variable field: th
 line is cut in four fields, and a template leaves one of them open (or none), so lines that
 differ in a single field meet in one template, whatever order they come in.
 
-A template recurs if it stands in at least ``CONTEXTS`` different surroundings, counted as the inverse
-Simpson index of the leading tokens before and after it over documents.  Copies of a document, exact or
-near, have the same surroundings and so don't make their own lines recur.  Lines with a
-recurring template are dropped from every document.
+A template recurs if it stands in at least ``CONTEXTS`` different documents.  Copies of a document, exact
+or near, don't count as different: two min-hashes of a document's word shingles tell it from others, and
+an edit seldom changes both.  Documents are counted as the inverse Simpson index of the pairs of
+min-hashes; where a large group of copies outweighs the rest in that index, as pairs beyond those
+that share either min-hash with another, less what independent edits of copies account for.  Lines with
+a recurring template are dropped from every document.
 
 Defined results: null texts stay null; blank lines and lines of one token are never dropped; repeated rows
 count as copies; an empty table gives no rows; the columns of documents are returned, others are ignored.
@@ -24,16 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema, small_batches, staged
+from .neardup import K1, K2, K3, blocks, word_hashes
+from .shared import GOLD, arrow_schema, mix64, small_batches, staged
 
 DEPTH = 2
 FIELDS = 4
 #: Tokens from which on a template may leave a field open.
 OPEN_FROM = 8
 LEAST_TOKENS = 2
-CONTEXTS = 4.0
-#: Leading tokens of the neighbouring lines that make the surroundings.
-LEAD = 3
+CONTEXTS = 5.0
 #: Recurring templates that are broadcast at most; more are joined by shuffle.
 BROADCAST_TEMPLATES = 1_000_000
 DIGIT = re.compile(r"\d")
@@ -62,45 +63,60 @@ def signed(x: list[int]) -> np.ndarray:
     return np.array(x, dtype=np.uint64).astype(np.int64)
 
 
-def document_templates(text: str) -> tuple[list[int], list[int], list[int]]:
-    """Line numbers, templates and surroundings; a template once a document for each line."""
-    lines = [(i, tokens(x)) for i, x in enumerate(text.split("\n"))]
-    full = [(i, w) for i, w in lines if w]
-    at, form, around = [], [], []
-    for k, (i, w) in enumerate(full):
-        before = full[k - 1][1][:LEAD] if k else ["\3"]
-        after = full[k + 1][1][:LEAD] if k + 1 < len(full) else ["\4"]
-        context = xxhash.xxh3_64_intdigest("\1".join([*before, "\2", *after]))
-        for f in templates(w):
+def document_templates(text: str) -> tuple[list[int], list[int]]:
+    """Line numbers and templates of all lines."""
+    at, form = [], []
+    for i, x in enumerate(text.split("\n")):
+        for f in templates(tokens(x)):
             at.append(i)
             form.append(f)
-            around.append(context)
-    return at, form, around
+    return at, form
+
+
+def sketch(text: str) -> tuple[int, int]:
+    """Two min-hashes of the text's word shingles; of all its words if there are fewer than three."""
+    low = []
+    with np.errstate(over="ignore"):
+        for _, raw in blocks(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)):
+            h = word_hashes(raw)[1]
+            h = mix64(h[:-2] * K1 + h[1:-1] * K2 + h[2:] * K3) if len(h) > 2 else h
+            if len(h):
+                low.append((int(h.min()), int(mix64(h + GOLD).min())))
+    return (min(a for a, _ in low), min(b for _, b in low)) if low else (0, 0)
 
 
 def recurring(docs: DataFrame, contexts: float = CONTEXTS) -> DataFrame:
-    """The templates (``form``) that recur in different surroundings, over all documents."""
+    """The templates (``form``) that recur in different documents, over all documents."""
     small_batches(docs.sparkSession)
-    ddl = "form long, around long"
+    ddl = "form long, one long, two long"
     schema = arrow_schema(ddl)
 
     def run(batches):
         for b in batches:
-            forms, arounds = [], []
+            forms, ones, twos = [], [], []
             for t in b.column(0).to_pylist():
-                seen = set()
-                _, form, around = document_templates(t)
-                for f, a in zip(form, around, strict=True):
-                    if f not in seen:
-                        seen.add(f)
-                        forms.append(f)
-                        arounds.append(a)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(forms)), pa.array(signed(arounds))], schema=schema)
+                found = set(document_templates(t)[1])
+                if found:
+                    one, two = sketch(t)
+                    forms += found
+                    ones += [one] * len(found)
+                    twos += [two] * len(found)
+            yield pa.RecordBatch.from_arrays([pa.array(signed(c)) for c in (forms, ones, twos)], schema=schema)
 
     rows = docs.where("text is not null").select(F.col("text").cast("string").alias("text")).mapInArrow(run, ddl)
-    pairs = rows.groupBy("form", "around").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    per = pairs.groupBy("form").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n")).alias("s"))
-    return per.where(F.col("t") * F.col("t") >= F.lit(contexts) * F.col("s")).select("form")
+    pairs = staged(rows.groupBy("form", "one", "two").agg(F.count(F.lit(1)).cast("double").alias("n")), "line-pairs")
+    per = pairs.groupBy("form").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n")).alias("s"), F.count(F.lit(1)).cast("double").alias("p"))
+    several = staged(per.where(F.col("p") >= contexts).withColumn("sure", F.col("t") * F.col("t") >= F.lit(contexts) * F.col("s")), "line-counts")
+    # templates whose index a large group of copies may hold down
+    open_ = several.where("not sure").select("form", "p", "t")
+    few = open_.count() <= BROADCAST_TEMPLATES
+    own = pairs.join(F.broadcast(open_.select("form")) if few else open_.select("form"), "form", "left_semi")
+    ones, twos = (own.select("form", c).distinct().groupBy("form").agg(F.count(F.lit(1)).cast("double").alias(f"n_{c}")) for c in ("one", "two"))
+    apart = F.col("n_one") + F.col("n_two") - F.col("p")
+    alone, other = F.col("n_one") - F.col("apart"), F.col("n_two") - F.col("apart")
+    chance = alone * other / F.greatest(F.lit(1.0), F.col("t") - alone - other - F.col("apart"))
+    more = open_.join(ones, "form").join(twos, "form").withColumn("apart", apart).where(F.col("apart") >= contexts + 2 * chance)
+    return several.where("sure").select("form").unionByName(more.select("form"))
 
 
 def without(text: str, drop) -> tuple[str, int, int]:
@@ -141,7 +157,7 @@ def drop_recurring(docs: DataFrame, contexts: float = CONTEXTS, broadcast_templa
             known = set(held.value.tolist())
 
             def decide(_, text):
-                at, form, _ = document_templates(text)
+                at, form = document_templates(text)
                 return {i for i, f in zip(at, signed(form).tolist(), strict=True) if f in known}
 
             for b in batches:
@@ -156,7 +172,7 @@ def drop_recurring(docs: DataFrame, contexts: float = CONTEXTS, broadcast_templa
         for b in batches:
             keys, at_all, forms = [], [], []
             for t in b.column(0).to_pylist():
-                at, form, _ = document_templates(t)
+                at, form = document_templates(t)
                 keys += [xxhash.xxh3_128_digest(t)] * len(at)
                 at_all += at
                 forms += form

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema, mix64, small_batches, staged
+from .shared import GOLD, arrow_schema, mix64, small_batches, staged
 
 PLACES = 128
 #: Bands and rows by the least similarity in per cent: the chance to miss a pair at the threshold is below 1e-6.
@@ -43,7 +43,7 @@ TABLE = _rng.integers(0, 2**64, 256, dtype=np.uint64)
 TABLE[65:91] = TABLE[97:123]
 BASE = 0x9E3779B97F4A7C15 | 1
 INVERSE = pow(BASE, -1, 2**64)
-K1, K2, K3, GOLD = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x9E3779B97F4A7C15))
+K1, K2, K3 = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB))
 SEPARATOR = np.zeros(256, dtype=bool)
 SEPARATOR[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[int, np.ndarray] = {}

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import arrow_schema, mix64, small_batches
+from .shared import GOLD, arrow_schema, mix64, small_batches
 
 SAMPLES = 2
 ALPHA = 1.0
@@ -43,7 +43,6 @@ EXACT = 16
 LEAST_MASS = 1e-6
 #: Draws of an alternative made together, and how often.
 DRAWS, TRIES = 16, 64
-GOLD = np.uint64(0x9E3779B97F4A7C15)
 PRIME = np.uint64(0x100000001B3)
 BLANK = "▁"
 #: Stands for a blank mark in the text itself; no valid text holds a lone surrogate.
