@@ -66,6 +66,12 @@ def test_line_in_a_hot_group_of_copies_still_goes(spark):
     assert all(x.n_dropped == 1 for x in run(spark, rows))
 
 
+def test_every_line_of_a_shared_passage_goes(spark):
+    passage = [f"{' '.join(chr(97 + i) * 4 for _ in range(9))} passage line" for i in range(6)]
+    rows = list(enumerate(texts(5, 40, put=lambda i: "\n".join(passage))))
+    assert all(x.n_dropped == 6 for x in run(spark, rows))
+
+
 def test_defined_results(spark):
     rows = [(1, None), (2, ""), (3, "\n\n"), (4, "one"), (5, "a b"), (5, "a b"), (None, "x y z"), (7, "t u v w\n" * 100_000)]
     got = run(spark, rows)
