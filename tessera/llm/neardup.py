@@ -348,15 +348,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, local_li
     return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """The rows of ``docs`` (all columns) without all but one of each group of near-duplicates.
 
-    The document with the smallest id stays; of repeated rows of that id one stays.  Rows are
-    joined to the ids that go, so what is kept is whole.
+    The document with the smallest id stays; of repeated rows of that id one stays; rows without
+    doc_id stay.  Rows are joined to the ids that go or repeat, so what is kept is whole: up to
+    ``broadcast_ids`` ids go to all tasks and no text is shuffled, more are joined by shuffle, once.
     """
     marked = staged(near_duplicates(docs, words, percent), "marked")
-    gone = marked.where("not kept").select("doc_id").distinct()
-    twice = marked.where("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id")
-    rest = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = rest.join(twice, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-    return rest.join(twice, "doc_id", "left_anti").select(*docs.columns).unionByName(again)
+    gone = marked.where("not kept and doc_id is not null").select("doc_id").distinct().withColumn("_twice", F.lit(False))
+    twice = marked.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id", F.lit(True).alias("_twice"))
+    flags = staged(gone.unionByName(twice), "flags")
+    joined = docs.join(F.broadcast(flags) if flags.count() <= broadcast_ids else flags, "doc_id", "left")
+    rest = joined.where("_twice is null").select(*docs.columns)
+    if flags.where("_twice").isEmpty():
+        return rest
+    return rest.unionByName(joined.where("_twice").select(*docs.columns).dropDuplicates(["doc_id"]))
