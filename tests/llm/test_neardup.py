@@ -101,8 +101,9 @@ def test_signature_places_estimate_similarity():
     assert (s != 0xFFFFFFFF).all()
 
 
-def test_keep_one(spark):
+@pytest.mark.parametrize("limit", [neardup.BROADCAST_IDS, -1])
+def test_keep_one(spark, limit):
     t = " ".join(f"a{i}" for i in range(40))
-    rows = [(5, t, "x"), (3, t, "y"), (9, "other words stand here now", "z"), (9, "other words stand here now", "z"), (7, None, "n"), (8, "", "e")]
-    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert sorted((r.doc_id, r.lang) for r in kept.collect()) == [(3, "y"), (7, "n"), (8, "e"), (9, "z")]
+    rows = [(5, t, "x"), (3, t, "y"), (9, "other words stand here now", "z"), (9, "other words stand here now", "z"), (7, None, "n"), (8, "", "e"), (None, t, "o")]
+    kept = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string"), broadcast_ids=limit)
+    assert sorted(((r.doc_id, r.lang) for r in kept.collect()), key=repr) == [(3, "y"), (7, "n"), (8, "e"), (9, "z"), (None, "o")]
