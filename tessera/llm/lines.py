@@ -1,7 +1,8 @@
 """Line deduplication with a log-template tree.
 
 A line's path in the tree is its token count and its first ``DEPTH`` tokens, after tokens with digits
-are masked as variable.  Below that, templates generalise one variable field: the rest of the
+are masked as variable.  Tokens stand between blanks; in scripts written without blanks each character is one.
+A line of one token is its own template, digits and all.  Below that, templates generalise one variable field: the rest of the
 line is cut in four fields, and a template leaves one of them open (or none), so lines that
 differ in a single field meet in one template, whatever order they come in.
 
@@ -12,7 +13,7 @@ min-hashes; where a large group of copies outweighs the rest in that index, as p
 that share either min-hash with another, less what independent edits of copies account for.  Lines with
 a recurring template are dropped from every document.
 
-Defined results: null texts stay null; blank lines and lines of one token are never dropped; repeated rows
+Defined results: null texts stay null; blank lines are never dropped; repeated rows
 count as copies; an empty table gives no rows; the columns of documents are returned, others are ignored.
 """
 
@@ -33,22 +34,31 @@ DEPTH = 2
 FIELDS = 4
 #: Tokens from which on a template may leave a field open.
 OPEN_FROM = 8
-LEAST_TOKENS = 2
 CONTEXTS = 5.0
 #: Recurring templates that are broadcast at most; more are joined by shuffle.
 BROADCAST_TEMPLATES = 1_000_000
 DIGIT = re.compile(r"\d")
+#: Scripts written without blanks: Thai, Lao, Tibetan, Burmese, Khmer, Tai, Javanese, kana, Han, Yi.
+UNSPACED = "\u0e00-\u0fff\u1000-\u109f\u1780-\u17ff\u1950-\u19ff\u1a20-\u1aaf\u3005-\u3007\u3040-\u312f\u31a0-\u31bf\u31f0-\u31ff\u3400-\u4dbf\u4e00-\ua4cf\ua980-\ua9ff\uaa60-\uaadf\uf900-\ufaff\uff66-\uff9f\U0001aff0-\U0001b16f\U00020000-\U0003ffff"
+CHARACTER = re.compile(rf"(?!\d)[{UNSPACED}]")
+TOKEN = re.compile(rf"(?!\d)[{UNSPACED}]|(?:[^\s{UNSPACED}]|\d)+")
 
 
-def tokens(line: str) -> list[str]:
-    words = line.split()
-    return ["\0" if DIGIT.search(w) else w for w in words] if DIGIT.search(line) else words
+def unspaced(text: str) -> bool:
+    """Whether the text has characters of a script without blanks."""
+    return not text.isascii() and CHARACTER.search(text) is not None
+
+
+def tokens(line: str, cut: bool = True) -> list[str]:
+    """Words, and with ``cut`` the characters of unspaced scripts; those with digits masked unless they are the whole line."""
+    words = TOKEN.findall(line) if cut else line.split()
+    return ["\0" if DIGIT.search(w) else w for w in words] if len(words) > 1 and DIGIT.search(line) else words
 
 
 def templates(words: list[str]) -> list[int]:
     """Hashes of the templates that a line belongs to: all fields fixed, then each one open."""
     n = len(words)
-    if n < LEAST_TOKENS:
+    if not n:
         return []
     h = xxhash.xxh3_64_intdigest
     out = [h("\1".join(words), n)]
@@ -66,16 +76,23 @@ def signed(x: list[int]) -> np.ndarray:
 def document_templates(text: str) -> tuple[list[int], list[int]]:
     """Line numbers and templates of all lines."""
     at, form = [], []
+    cut = unspaced(text)
     for i, x in enumerate(text.split("\n")):
-        for f in templates(tokens(x)):
+        for f in templates(tokens(x, cut)):
             at.append(i)
             form.append(f)
     return at, form
 
 
+def spaced(text: str) -> str:
+    """The text with blanks around each character of an unspaced script, so that its shingles are of characters."""
+    return CHARACTER.sub(r" \g<0> ", text) if unspaced(text) else text
+
+
 def sketch(text: str) -> tuple[int, int]:
     """Two min-hashes of the text's word shingles; of all its words if there are fewer than three."""
     low = []
+    text = spaced(text)
     with np.errstate(over="ignore"):
         for _, raw in blocks(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)):
             h = word_hashes(raw)[1]

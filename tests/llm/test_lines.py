@@ -72,6 +72,25 @@ def test_every_line_of_a_shared_passage_goes(spark):
     assert all(x.n_dropped == 6 for x in run(spark, rows))
 
 
+def test_lines_of_one_token(spark):
+    """One word, or a sentence without blanks, recurs like any other line; numbers of their own stay."""
+    for line in ("Les.", "本网站的所有内容均受版权保护未经许可不得转载", "ลิขสิทธิ์ทั้งหมดเป็นของเจ้าของเว็บไซต์"):
+        rows = list(enumerate(texts(put=lambda i, line=line: line)))
+        assert all(r.n_dropped == 1 and line not in r.text for r in run(spark, rows))
+    assert all(r.n_dropped == 1 for r in run(spark, list(enumerate(texts(put=lambda i: f"第{i}章的全部内容请参见本站首页说明")))))
+    assert all(r.n_dropped == 0 for r in run(spark, list(enumerate(texts(put=lambda i: str(1000 + i))))))
+
+
+def test_copies_without_blanks_keep_their_lines(spark):
+    r = random.Random(6)
+    one = ["".join(chr(0x4E00 + r.randrange(3000)) for _ in range(60)) for _ in range(4)]
+    rows = [(i, "\n".join(one)) for i in range(5)]
+    for i in range(5, 15):
+        k, at = r.randrange(4), r.randrange(60)
+        rows.append((i, "\n".join(x[:at] + "丂" + x[at + 1 :] if n == k else x for n, x in enumerate(one))))
+    assert all(x.n_dropped == 0 for x in run(spark, rows))
+
+
 def test_defined_results(spark):
     rows = [(1, None), (2, ""), (3, "\n\n"), (4, "one"), (5, "a b"), (5, "a b"), (None, "x y z"), (7, "t u v w\n" * 100_000)]
     got = run(spark, rows)
