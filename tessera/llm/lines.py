@@ -9,8 +9,8 @@ differ in a single field meet in one template, whatever order they come in.
 A template recurs if it stands in at least ``CONTEXTS`` different documents.  Copies of a document, exact
 or near, don't count as different: two min-hashes of a document's word shingles tell it from others, and
 an edit seldom changes both.  Documents are counted as the inverse Simpson index of the pairs of
-min-hashes; where a large group of copies outweighs the rest in that index, as pairs beyond those
-that share either min-hash with another, less what independent edits of copies account for.  Lines with
+min-hashes; where a large group of copies outweighs the rest in that index, the documents with the template
+are compared and counted exactly, as components of near-duplicates (five-word shingles, 80 per cent).  Lines with
 a recurring template are dropped from every document.
 
 Defined results: null texts stay null; blank lines are never dropped; repeated rows
@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neardup import K1, K2, K3, blocks, word_hashes
+from .neardup import BROADCAST_IDS, K1, K2, K3, blocks, near_duplicates, word_hashes
 from .shared import GOLD, arrow_schema, mix64, small_batches, staged
 
 DEPTH = 2
@@ -105,35 +105,49 @@ def sketch(text: str) -> tuple[int, int]:
 def recurring(docs: DataFrame, contexts: float = CONTEXTS) -> DataFrame:
     """The templates (``form``) that recur in different documents, over all documents."""
     small_batches(docs.sparkSession)
-    ddl = "form long, one long, two long"
+    texts = docs.where("text is not null").select(F.col("text").cast("string").alias("text")).select(F.xxhash64("text").alias("id"), "text")
+    ddl = "id long, one long, two long, forms array<long>"
     schema = arrow_schema(ddl)
 
     def run(batches):
         for b in batches:
-            forms, ones, twos = [], [], []
-            for t in b.column(0).to_pylist():
-                found = set(document_templates(t)[1])
-                if found:
-                    one, two = sketch(t)
-                    forms += found
-                    ones += [one] * len(found)
-                    twos += [two] * len(found)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(c)) for c in (forms, ones, twos)], schema=schema)
-
-    rows = docs.where("text is not null").select(F.col("text").cast("string").alias("text")).mapInArrow(run, ddl)
-    pairs = staged(rows.groupBy("form", "one", "two").agg(F.count(F.lit(1)).cast("double").alias("n")), "line-pairs")
+            ones, twos, forms = [], [], []
+            for t in b.column(1).to_pylist():
+                found = signed(list(set(document_templates(t)[1])))
+                one, two = sketch(t) if len(found) else (0, 0)
+                ones.append(one)
+                twos.append(two)
+                forms.append(found)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signed(ones)), pa.array(signed(twos)), pa.array(forms, pa.list_(pa.int64()))], schema=schema)
+
+    held = staged(texts.mapInArrow(run, ddl), "line-forms")
+    rows = held.select("one", "two", F.explode("forms").alias("form"))
+    pairs = rows.groupBy("form", "one", "two").agg(F.count(F.lit(1)).cast("double").alias("n"))
     per = pairs.groupBy("form").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n")).alias("s"), F.count(F.lit(1)).cast("double").alias("p"))
     several = staged(per.where(F.col("p") >= contexts).withColumn("sure", F.col("t") * F.col("t") >= F.lit(contexts) * F.col("s")), "line-counts")
-    # templates whose index a large group of copies may hold down
-    open_ = several.where("not sure").select("form", "p", "t")
-    few = open_.count() <= BROADCAST_TEMPLATES
-    own = pairs.join(F.broadcast(open_.select("form")) if few else open_.select("form"), "form", "left_semi")
-    ones, twos = (own.select("form", c).distinct().groupBy("form").agg(F.count(F.lit(1)).cast("double").alias(f"n_{c}")) for c in ("one", "two"))
-    apart = F.col("n_one") + F.col("n_two") - F.col("p")
-    alone, other = F.col("n_one") - F.col("apart"), F.col("n_two") - F.col("apart")
-    chance = alone * other / F.greatest(F.lit(1.0), F.col("t") - alone - other - F.col("apart"))
-    more = open_.join(ones, "form").join(twos, "form").withColumn("apart", apart).where(F.col("apart") >= contexts + 2 * chance)
-    return several.where("sure").select("form").unionByName(more.select("form"))
+    sure, open_ = several.where("sure").select("form"), several.where("not sure").select("form")
+    n_open = open_.count()
+    if n_open == 0:
+        return sure
+    own = held.select("id", F.explode("forms").alias("form"))
+    own = staged(own.join(F.broadcast(open_) if n_open <= BROADCAST_TEMPLATES else open_, "form", "left_semi").distinct(), "line-open")
+    more = own.join(groups(texts, own.select("id").distinct()), "id").groupBy("form").agg(F.countDistinct("component_id").alias("c")).where(F.col("c") >= contexts)
+    return sure.unionByName(more.select("form"))
+
+
+def groups(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """id and component_id of the near-duplicates among the texts whose id is in ``ids``."""
+    ids = staged(ids, "line-ids")
+    chosen = texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi").dropDuplicates(["id"])
+    ddl = "doc_id long, text string"
+    schema = arrow_schema(ddl)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(spaced, b.column(1).to_pylist())), pa.string())], schema=schema)
+
+    found = near_duplicates(staged(chosen.select("id", "text").mapInArrow(run, ddl), "line-texts"))
+    return found.select(F.col("doc_id").alias("id"), "component_id")
 
 
 def without(text: str, drop) -> tuple[str, int, int]:

@@ -66,6 +66,23 @@ def test_line_in_a_hot_group_of_copies_still_goes(spark):
     assert all(x.n_dropped == 1 for x in run(spark, rows))
 
 
+@pytest.mark.parametrize(("others", "goes"), [(8, True), (3, False)])
+def test_edited_copies_leave_the_bar_at_five(spark, others, goes):
+    """However many edited copies a document has, five different documents with a line are enough, and needed."""
+    r = random.Random(7)
+    one = prose(r, 12).replace("\n", " \n ").split(" ")
+    at = [i for i, w in enumerate(one) if w != "\n"]
+    copies = []
+    for n in range(2200):
+        w = list(one)
+        for i in r.sample(at, 3) if n >= 200 else ():
+            w[i] = f"edit{chr(97 + r.randrange(26))}{chr(97 + r.randrange(26))}"
+        copies.append(" ".join(w).replace(" \n ", "\n") + "\n" + LICENSE)
+    got = run(spark, list(enumerate(texts(8, others) + copies)))
+    assert all((LICENSE not in x.text) == goes for x in got)
+    assert all(x.n_dropped == goes for x in got if x.doc_id < others or x.doc_id < others + 200)
+
+
 def test_every_line_of_a_shared_passage_goes(spark):
     passage = [f"{' '.join(chr(97 + i) * 4 for _ in range(9))} passage line" for i in range(6)]
     rows = list(enumerate(texts(5, 40, put=lambda i: "\n".join(passage))))
