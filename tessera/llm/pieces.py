@@ -13,9 +13,8 @@ so segmentations are distinct and come in the order of their perturbed scores.
 would come next gives each sample's inclusion probability.  All draws are functions of the row key.
 
 Defined results: null texts count as empty; an empty text has one segmentation without pieces; a text with fewer
-segmentations than asked for gives each once; repeated rows give the same samples; alternatives of a unit
-with less than a millionth of its mass are taken as none; an empty table gives no rows; other
-columns are ignored.
+segmentations than asked for gives each once, however rare; repeated rows give the same samples; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,7 +39,8 @@ STEP = 1 << 21
 CACHE_CHARS = 1 << 20
 #: Units up to this length are grouped by exact length, longer ones by multiples of 8.
 EXACT = 16
-LEAST_MASS = 1e-6
+#: Below this mass what is left of a unit is summed over its lattice, not taken from 1, and sampled there.
+SMALL_MASS = 1e-3
 #: Draws of an alternative made together, and how often.
 DRAWS, TRIES = 16, 64
 PRIME = np.uint64(0x100000001B3)
@@ -227,10 +227,49 @@ def below(phi: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
         return np.where(np.isneginf(phi), -np.inf, phi - np.logaddexp(phi - bound, np.log(-np.log(u))))
 
 
-def log_rest(log_p: np.ndarray) -> np.ndarray:
-    """log(1 - p), minus infinity below ``LEAST_MASS``."""
-    rest = -np.expm1(log_p)
-    return np.where(rest < LEAST_MASS, -np.inf, np.log(np.maximum(rest, LEAST_MASS)))
+class Remainder:
+    """A unit's segmentations but for some taken ones: their mass, summed without subtraction, and exact samples."""
+
+    def __init__(self, lattice: Lattices, row: int, taken: list[list[int]]):
+        self.edge, self.ids, self.total, self.n = lattice.edge[row], lattice.ids[row], lattice.total[row], int(lattice.length[row])
+        # the suffixes of taken paths (piece lengths, last first): position and longer suffixes by the next length
+        self.nodes: list[tuple[int, dict[int, int]]] = [(self.n, {})]
+        for path in taken:
+            at = 0
+            for size in reversed(path):
+                j, more = self.nodes[at]
+                if size not in more:
+                    more[size] = len(self.nodes)
+                    self.nodes.append((j - size, {}))
+                at = more[size]
+        self.left = np.full(len(self.nodes), -np.inf)
+        for i in range(len(self.nodes) - 1, -1, -1):
+            if self.nodes[i][0]:
+                self.left[i] = np.logaddexp.reduce(self.weights(*self.nodes[i]))
+        self.log_mass = float(self.left[0] - self.total[self.n])
+
+    def weights(self, j: int, more: dict[int, int]) -> np.ndarray:
+        """Log weights of the last piece's lengths before position ``j``."""
+        k = min(j, self.edge.shape[1])
+        below_ = self.total[j - k : j][::-1].copy()
+        for size, i in more.items():
+            below_[size - 1] = self.left[i]
+        return self.edge[j, :k].astype(np.float64) + below_
+
+    def sample(self, key: np.ndarray) -> tuple[np.ndarray, float]:
+        """Pieces in text order and log probability in the whole lattice."""
+        out, log_p, j, at, step = [], -float(self.total[self.n]), self.n, 0, 0
+        while j:
+            more = self.nodes[at][1] if at is not None else {}
+            w = self.weights(j, more)
+            c = np.cumsum(np.exp(w - w.max()))
+            with np.errstate(over="ignore"):
+                u = float(uniform(key + np.uint64(step) * PRIME)[0])
+            k = int(np.searchsorted(c, u * c[-1]))
+            out.append(self.ids[j, k])
+            log_p += float(self.edge[j, k])
+            j, at, step = j - k - 1, more.get(k + 1), step + 1
+        return np.array(out[::-1], dtype=np.int32), min(log_p, 0.0)
 
 
 class Path:
@@ -255,6 +294,22 @@ class Sampler:
         self.group, self.row, self.held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
         self.lattices: list[Lattices] = []
         self.widths: dict[int, int] = {}
+        self.rests: dict[int, float] = {}
+
+    def remainder(self, unit: int, taken: list[np.ndarray]) -> Remainder:
+        sizes = [[1 if i < 0 else len(self.v.text[i]) for i in x.tolist()] for x in taken]
+        return Remainder(self.lattices[self.group[unit]], int(self.row[unit]), sizes)
+
+    def log_rest(self, log_p: np.ndarray, units: np.ndarray, pieces_of) -> np.ndarray:
+        """log(1 - p) for each unit's draw; minus infinity if there is no other."""
+        rest = -np.expm1(log_p)
+        out = np.log(np.maximum(rest, SMALL_MASS))
+        for t in np.flatnonzero(rest < SMALL_MASS).tolist():
+            u = int(units[t])  # a draw with nearly all mass is always the same one
+            if u not in self.rests:
+                self.rests[u] = self.remainder(u, [pieces_of(t)]).log_mass
+            out[t] = self.rests[u]
+        return out
 
     def numbers(self, texts: list[str]) -> list[list[int]]:
         """The units of each text by number; lattices of units not seen before are added."""
@@ -326,37 +381,46 @@ class Sampler:
                 paths.append([Path(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0), float(roots[d]), {})])
                 continue
             lp = draws[0][2][a:z]
-            phi = np.concatenate([[0.0], np.cumsum(lp)[:-1]]) + log_rest(lp)
+            rest = self.log_rest(lp, unit[a:z], lambda t, a=a: draws[0][0][draws[0][1][a + t] : draws[0][1][a + t + 1]])
+            phi = np.concatenate([[0.0], np.cumsum(lp)[:-1]]) + rest
             paths.append([Path(np.zeros(z - a, dtype=np.int64), lp, below(phi, roots[d], bound_draws[0][a:z]), float(roots[d]), {})])
         for j in range(1, self.k):
-            nodes = {}
-            for d, own in enumerate(paths):
-                best = max(((float(p.bounds.max()), i) for i, p in enumerate(own) if len(p.bounds)), default=(-np.inf, 0))
-                if len(own) == j and best[0] > -np.inf:
-                    nodes[d] = (best[0], best[1], int(own[best[1]].bounds.argmax()))
-            found = self.others(paths, nodes, starts, unit, doc_seed, draws, j)
+            nodes, found, pending = {}, {}, [d for d, own in enumerate(paths) if len(own) == j]
+            while pending:
+                tried = {}
+                for d in pending:
+                    best = max(((float(p.bounds.max()), i) for i, p in enumerate(paths[d]) if len(p.bounds)), default=(-np.inf, 0))
+                    if best[0] > -np.inf:
+                        tried[d] = (best[0], best[1], int(paths[d][best[1]].bounds.argmax()))
+                got = self.others(paths, tried, starts, unit, doc_seed, draws, j)
+                nodes |= {d: tried[d] for d in got}
+                found |= got
+                pending = [d for d in tried if d not in got]
+                for d in pending:  # nothing else there: on with the next best
+                    _, i, t = tried[d]
+                    paths[d][i].bounds[t] = -np.inf
             wanted = np.zeros(len(unit), dtype=bool)
             for d in found:
                 wanted[starts[d] + nodes[d][2] : starts[d + 1]] = True
             draws.append(self.draw(unit, self.keys(seeds, number, j), wanted))
             for d, (bound, i, t) in nodes.items():
                 p, a, z = paths[d][i], starts[d], starts[d + 1]
-                if d not in found:
-                    p.bounds[t] = -np.inf
-                    continue
                 ids, log_p = found[d]
                 choice, lp = p.choice.copy(), p.log_p.copy()
                 choice[t:], lp[t:] = j, draws[j][2][a + t : z]
                 lp[t] = log_p
                 head = np.concatenate([[0.0], np.cumsum(lp)[:-1]])
-                bounds = below(head + log_rest(lp), bound, bound_draws[j][a:z])
-                bounds[: t + 1] = -np.inf
+                drawn = draws[j]
+                rest = np.full(z - a, -np.inf)
+                rest[t + 1 :] = self.log_rest(lp[t + 1 :], unit[a + t + 1 : z], lambda n, a=a + t + 1, drawn=drawn: drawn[0][drawn[1][a + n] : drawn[1][a + n + 1]])
+                bounds = below(head + rest, bound, bound_draws[j][a:z])
                 alternatives = {k: v for k, v in p.alternatives.items() if k < t} | {t: ids}
                 paths[d].append(Path(choice, lp, bounds, bound, alternatives))
                 shut = p.shut.setdefault(t, [])
                 shut.append((ids, log_p))
                 left = 1 - np.exp(p.log_p[t]) - sum(np.exp(x) for _, x in shut)
-                location = p.log_p[:t].sum() + np.log(left) if left >= LEAST_MASS else -np.inf
+                log_left = np.log(left) if left >= SMALL_MASS else self.remainder(int(unit[a + t]), self.taken(p, t, draws, a)).log_mass
+                location = p.log_p[:t].sum() + log_left
                 p.bounds[t] = below(np.array([location]), bound, again[d, j : j + 1])[0]
         return [self.results(own, draws, starts[d]) for d, own in enumerate(paths)]
 
@@ -366,9 +430,16 @@ class Sampler:
         flat, bounds, _ = draws[path.choice[t]]
         return flat[bounds[start + t] : bounds[start + t + 1]]
 
+    def taken(self, path: Path, t: int, draws, start: int) -> list[np.ndarray]:
+        return [self.pieces_at(path, t, draws, start)] + [x for x, _ in path.shut.get(t, [])]
+
     def others(self, paths, nodes, starts, unit, doc_seed, draws, j: int) -> dict:
         """For each node another segmentation of its unit than those taken there, by its conditional probability."""
-        found, todo = {}, dict(nodes)
+        found, todo, few = {}, {}, {}
+        for d, (_, i, t) in nodes.items():
+            p = paths[d][i]
+            left = 1 - np.exp(p.log_p[t]) - sum(np.exp(x) for _, x in p.shut.get(t, []))
+            (few if left < SMALL_MASS else todo)[d] = nodes[d]
         for turn in range(TRIES):
             if not todo:
                 break
@@ -379,13 +450,17 @@ class Sampler:
             for n, d in enumerate(docs.tolist()):
                 _, i, t = todo[d]
                 p = paths[d][i]
-                taken = [self.pieces_at(p, t, draws, starts[d]).tobytes()] + [x.tobytes() for x, _ in p.shut.get(t, [])]
+                taken = [x.tobytes() for x in self.taken(p, t, draws, starts[d])]
                 for m in range(n * DRAWS, (n + 1) * DRAWS):
                     x = flat[bounds[m] : bounds[m + 1]]
                     if x.tobytes() not in taken:
                         found[d] = (x.copy(), float(log_p[m]))
                         del todo[d]
                         break
+        for d, (_, i, t) in (few | todo).items():  # rare alternatives: from the lattice without the taken ones
+            rest = self.remainder(int(unit[starts[d] + t]), self.taken(paths[d][i], t, draws, starts[d]))
+            if rest.log_mass > -np.inf:
+                found[d] = rest.sample(self.keys(doc_seed[d : d + 1], np.array([t]), 500_000 + j))
         return found
 
     def results(self, own: list[Path], draws, start: int):

@@ -76,6 +76,22 @@ def test_small_lattices_are_emptied(vocabulary):
     assert pieces.Sampler(vocabulary, 3)([""], ["3"])[0][0][0].tolist() == []
 
 
+@pytest.mark.parametrize("text", ["of", "in", "to", "of the is"])
+def test_rare_alternatives_are_sampled(vocabulary, text):
+    """A second segmentation is found however little mass it has, with the right probability."""
+    units = pieces.UNITS.findall(vocabulary.normal(text))
+    options = [all_segmentations(vocabulary, u) for u in units]
+    z = sum(np.logaddexp.reduce([w for _, w in o]) for o in options)
+    want = {sum((p for p, _ in c), ()): sum(w for _, w in c) - z for c in itertools.product(*options)}
+    asked = min(len(want), 4)
+    for n in range(20):
+        found = pieces.Sampler(vocabulary, asked)([text], [str(n)])[0]
+        assert len({x[0].tobytes() for x in found}) == len(found) == asked
+        assert all(abs(want[tuple(ids.tolist())] - log_p) < 1e-4 for ids, log_p, _ in found)
+    every = pieces.Sampler(vocabulary, len(want) + 1)([text], ["1"])[0] if len(units) == 1 else []
+    assert {tuple(x[0].tolist()) for x in every} == (set(want) if every else set())
+
+
 def test_samples_follow_the_distribution(vocabulary):
     """First samples have the model's probabilities; pairs those of draws without replacement."""
     text = "ther"
