@@ -14,17 +14,13 @@ from tessera.llm.queries import tokenizer_path
 from tessera.llm.shared import crc_of_id, new_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Least score that a document's language must have; short clean texts score low, so only noise goes.
-LANGUAGE_SCORE = 0.2
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a known language; texts without a letter go."""
+    """Documents evidently in a learned language; texts without a letter, noise and other languages go."""
     small = docs.where(~F.coalesce(crc_of_id() % 4 == 2, F.lit(False)))
     model = language.train(small)
-    named = language.predict(docs, model, **{f"_{c}": F.col(c) for c in COLUMNS})
-    kept = named.where((F.col("lang_pred") != language.UND) & (F.col("score") >= LANGUAGE_SCORE))
-    return kept.select(*[F.col(f"_{c}").alias(c) for c in COLUMNS])
+    return language.accepted(docs.select(*COLUMNS), model, language.calibrate(small, model))
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

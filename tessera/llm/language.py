@@ -9,6 +9,10 @@ n-grams to languages, so a batch of texts is scored by one matrix product.
 The classifier is fitted on a bounded sample: about ``per_language`` rows per language,
 chosen by a hash of the id.  Prediction reads every whole text.
 
+Whether a text is in a learned language at all is told by evidence: how many of its n-grams the language's
+landmarks hold, and the margin to the second-best language.  Both bounds are the least that labelled rows
+of that language and at least that size show (n-grams of a second landmark, half the margin).
+
 Defined results: null texts and texts without a letter are ``und`` with score 0; if nothing
 can be learned from, all are; repeated rows are predicted each; other columns are ignored.
 """
@@ -88,9 +92,16 @@ class LanguageModel:
     languages: list[str]
     places: np.ndarray
     weights: np.ndarray  # places x languages
+    held: np.ndarray  # places x languages: landmarks with the place, 2 at most
 
     def predict(self, texts: list[str | None], presence: Presence) -> tuple[list[str], np.ndarray]:
+        return self.evidence(texts, presence, 0)[:2]
+
+    def evidence(self, texts: list[str | None], presence: Presence, landmarks: int) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Labels, scores, and of each text: the share of its n-grams in as many ``landmarks`` of its language (0: not
+        counted), the margin to the next language, the number of its n-grams."""
         labels, scores = [UND] * len(texts), np.zeros(len(texts))
+        cover, margin, size = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
         at = [i for i, t in enumerate(texts) if has_letter(t)] if self.languages else []
         if at:
             x = np.zeros((len(at), len(self.places)), dtype=np.float32)
@@ -103,7 +114,12 @@ class LanguageModel:
             scores[at] = np.clip((f[np.arange(len(at)), best] + 1) / 2, 0, 1)
             for i, b in zip(at, best, strict=True):
                 labels[i] = self.languages[b]
-        return labels, scores
+            if landmarks:
+                size[at] = np.rint(norm**2)
+                cover[at] = (x @ (self.held >= landmarks).astype(np.float32))[np.arange(len(at)), best] / size[at]
+                top = np.sort(f, axis=1)
+                margin[at] = top[:, -1] - top[:, -2] if f.shape[1] > 1 else np.inf
+        return labels, scores, cover, margin, size
 
 
 def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
@@ -111,17 +127,21 @@ def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: f
     rows = [(lang, p) for lang, p in rows if len(p)]
     languages = sorted({lang for lang, _ in rows})
     if not languages:
-        return LanguageModel([], np.zeros(0, dtype=np.int64), np.zeros((0, 0), dtype=np.float32))
+        return LanguageModel([], np.zeros(0, dtype=np.int64), np.zeros((0, 0), dtype=np.float32), np.zeros((0, 0), dtype=np.uint8))
     seen: dict[str, int] = {}
-    chosen = []
+    chosen, of = [], []
     for lang, p in rows:
         seen[lang] = seen.get(lang, 0) + 1
         if seen[lang] <= landmarks:
             chosen.append(p)
+            of.append(languages.index(lang))
     places = np.unique(np.concatenate(chosen))
     z = np.zeros((len(chosen), len(places)), dtype=np.float32)
+    held = np.zeros((len(places), len(languages)), dtype=np.uint8)
     for k, p in enumerate(chosen):
-        z[k, np.searchsorted(places, p)] = 1 / np.sqrt(len(p))
+        at = np.searchsorted(places, p)
+        z[k, at] = 1 / np.sqrt(len(p))
+        held[at, of[k]] = np.minimum(held[at, of[k]] + 1, 2)
     x = np.zeros((len(rows), len(chosen)), dtype=np.float64)
     for k, (_, p) in enumerate(rows):
         i = np.searchsorted(places, p)
@@ -134,7 +154,7 @@ def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: f
     # rows weigh so that every language counts alike
     share = np.array([1 / seen[lang] for lang, _ in rows]) * len(rows) / len(languages)
     alpha = np.linalg.solve(phi.T @ (phi * share[:, None]) + ridge * len(rows) / len(languages) * np.eye(phi.shape[1]), phi.T @ (y * share[:, None]))
-    return LanguageModel(languages, places, (z.T @ (root @ alpha)).astype(np.float32))
+    return LanguageModel(languages, places, (z.T @ (root @ alpha)).astype(np.float32), held)
 
 
 def sample_by_hash(df: DataFrame, key: str, of: str, per_value: int, limit: int) -> DataFrame:
@@ -178,3 +198,64 @@ def predict(docs: DataFrame, model: LanguageModel, **extra: Column) -> DataFrame
             yield pa.RecordBatch.from_arrays([c for i, c in enumerate(b.columns) if i != 1] + [pa.array(labels, pa.string()), pa.array(scores)], schema=schema)
 
     return picked.mapInArrow(run, ddl)
+
+
+def size_class(size: int) -> int:
+    """Texts of a class have less than twice the n-grams of each other."""
+    return int(size).bit_length()
+
+
+def calibrate(labelled: DataFrame, model: LanguageModel) -> dict[str, list[tuple[int, float, float]]]:
+    """For each language by size class the least cover and margin of all rightly named rows of that size or more.
+
+    Cover counts n-grams of two landmarks or more, so that a row that is a landmark does not vouch for itself.
+    """
+    small_batches(labelled.sparkSession)
+    picked = labelled.where("lang is not null and text is not null").select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    ddl = "lang string, class int, cover double, margin double"
+    schema = arrow_schema(ddl)
+    shipped = labelled.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        presence = Presence()
+        for b in batches:
+            labels, _, cover, margin, size = shipped.value.evidence(b.column(0).to_pylist(), presence, 2)
+            rows = [(a, size_class(n), c, m) for a, lang, c, m, n in zip(labels, b.column(1).to_pylist(), cover, margin, size, strict=True) if a == lang and n]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    out: dict[str, list[tuple[int, float, float]]] = {}
+    for r in sorted(picked.mapInArrow(run, ddl).groupBy("lang", "class").agg(F.min("cover").alias("c"), F.min("margin").alias("m")).collect(), key=lambda r: (r["lang"], -r["class"])):
+        own = out.setdefault(r["lang"], [])
+        c, m = (min(r[k], own[-1][i]) if own else r[k] for i, k in ((1, "c"), (2, "m")))
+        own.append((r["class"], c, m))
+    return out
+
+
+def evident(bounds: dict[str, list[tuple[int, float, float]]], label: str, cover: float, margin: float, size: int) -> bool:
+    """Whether a text shows as much evidence for its language as labelled texts; any does if there are none."""
+    if label == UND:
+        return False
+    own = bounds.get(label)
+    if not own:
+        return True
+    n = size_class(size)
+    # the largest class not above the text's, else the smallest
+    _, c, m = next((b for b in own if b[0] <= n), own[-1])
+    return bool(cover >= c and margin >= m / 2)
+
+
+def accepted(docs: DataFrame, model: LanguageModel, bounds: dict[str, list[tuple[int, float, float]]]) -> DataFrame:
+    """The rows of ``docs`` (all columns, with text) that are evidently in a learned language."""
+    small_batches(docs.sparkSession)
+    place = docs.columns.index("text")
+    shipped = docs.sparkSession.sparkContext.broadcast((model, bounds))
+
+    def run(batches):
+        presence = Presence()
+        for b in batches:
+            known, least = shipped.value
+            labels, _, cover, margin, size = known.evidence(b.column(place).to_pylist(), presence, 1)
+            yield b.filter(pa.array([evident(least, *x) for x in zip(labels, cover, margin, size, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,5 +1,7 @@
 """The corpus pipeline: each stage's decisions against its operator and brute force."""
 
+import random
+
 import corpus_pipeline as cp
 import pytest
 
@@ -43,6 +45,20 @@ def test_language_rejects_only_text_without_language(spark, stages):
     assert not {10**6, 10**6 + 1} & set(kept)
 
 
+def test_language_rejects_noise_and_unlearned_languages(spark):
+    r = random.Random(4)
+    d = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "оеаинтсрвлкмдпуяыьгзбчйхжшю", "αεηιοςτνρσκλμπυ", "".join(map(chr, range(0x3041, 0x3097)))]
+    odd = [" ".join("".join(r.choice(x) for _ in range(r.randrange(3, 9))) for _ in range(n)) for x in alphabets for n in (20, 100, 800)]
+    clean = docs.where("lang is not null and text is not null").orderBy("n_chars").limit(300)
+    more = spark.createDataFrame([(10**9 + i, x, None, "s", len(x)) for i, x in enumerate(odd)], docs.schema)
+    kept = set(ids(cp.language_stage(spark, docs.unionByName(more), d)))
+    assert not {i for i in kept if i >= 10**9}
+    short = ids(clean)
+    assert sum(i in kept for i in short) >= 0.99 * len(short)
+
+
 def test_quality_keeps_labelled_good(spark, stages):
     docs, made = stages["quality"]
     labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/../sf0.001/labels.parquet").collect()}
