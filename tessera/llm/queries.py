@@ -38,8 +38,8 @@ def op5_topk(spark, sf_dir):
 
 
 def op6_pieces(spark, sf_dir):
-    """Distinct sampled segmentations of every whole document, without replacement."""
-    return pieces.sample_segmentations(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"), with_ids=False)
+    """Two distinct sampled segmentations of every whole document, without replacement, with their piece ids."""
+    return pieces.sample_segmentations(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
 def op7_lines(spark, sf_dir):

@@ -134,6 +134,13 @@ def test_query(spark, sf):
     assert sorted(rows) == sorted(again)
 
 
+def test_query_returns_the_pieces(spark, sf):
+    v = pieces.vocabulary(PATH)
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in op6_pieces(spark, sf).limit(40).collect():
+        assert len(r.ids) == r.n_pieces and v.decode(r.ids) == texts[r.doc_id]
+
+
 def test_defined_results(spark):
     rows = [(1, None), (2, ""), (3, "the cat"), (3, "the cat"), (None, "the cat"), (4, "word " * 200_000)]
     docs = spark.createDataFrame([(i, t, "c", 2) for i, t in rows], "doc_id long, text string, sample string, ids int")
