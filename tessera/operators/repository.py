@@ -5,14 +5,14 @@ from __future__ import annotations
 from contextlib import contextmanager
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.plans.config import ReadConfig, configured
 from tessera.plans.entity import Entity
-from tessera.plans.planner import page_offset, plan
+from tessera.plans.planner import Scope, page_offset, plan
+from tessera.plans.ranks import ahead, named, ordering, same, sort_keys, total, with_rank
 from tessera.plans.spec import Row as RowProxy
-from tessera.plans.planner import Scope
 
 from .uow import MultipleResultsError, UnitOfWork
 
@@ -81,14 +81,14 @@ class Repository:
         return df.select(*columns)
 
     def _rows(self, df: DataFrame, config) -> list:
+        """The rows; of a unit of work, unless reads are not to be tracked, as items whose edits the next commit saves."""
         made = configured(ReadConfig, config)
+        version = self.uow.snapshot() if self.uow is not None else None
         with tagged(self.spark, made.tag):
             rows = df.collect()
-        if self.uow is not None and not made.no_tracking and self.entity.key:
-            for r in rows:
-                if all(k in r for k in self.entity.key):
-                    self.uow.attach(self.entity.name, r)
-        return rows
+        if self.uow is None or made.no_tracking or not self.entity.key or not set(self.entity.key) <= set(df.columns):
+            return rows
+        return [self.uow.tracked(self.entity.name, r, version) for r in rows]
 
     def _one(self, df: DataFrame, config):
         rows = self._rows(df, config)
@@ -136,11 +136,12 @@ class Repository:
 
     # counts and tests
 
-    def count_df(self, predicate=None) -> DataFrame:
-        return self._plan(None, predicate, includes=False).agg(F.count(F.lit(1)).alias("n"))
+    def count_df(self, predicate=None, config=None) -> DataFrame:
+        return self._plan(config, predicate, includes=False).agg(F.count(F.lit(1)).alias("n"))
 
-    def count(self, predicate=None) -> int:
-        return self.count_df(predicate).first()["n"]
+    def count(self, predicate=None, config=None) -> int:
+        with tagged(self.spark, configured(ReadConfig, config).tag):
+            return self.count_df(predicate, config).first()["n"]
 
     def any_df(self, predicate=None, config=None) -> DataFrame:
         return self._plan(config, predicate, includes=False).limit(1).agg((F.count(F.lit(1)) > 0).alias("result"))
@@ -174,7 +175,8 @@ class Repository:
         return self._mapped(config, predicate, columns, 1)
 
     def get_first_mapped(self, predicate, columns, config=None):
-        rows = self.get_first_mapped_df(predicate, columns, config).collect()
+        with tagged(self.spark, configured(ReadConfig, config).tag):
+            rows = self.get_first_mapped_df(predicate, columns, config).collect()
         return rows[0] if rows else None
 
     def get_single_df(self, predicate, config=None) -> DataFrame:
@@ -203,8 +205,8 @@ class Repository:
         return self._rows(self.get_paged_df(*args, config=config), config)
 
     def find_page(self, predicate, index: int, size: int, config=None) -> Page:
-        """One page and the count of all rows that satisfy the predicate."""
-        return Page(self.get_paged_df(predicate, index, size, config=config), self.count(predicate), index, size)
+        """One page and the count of all rows that satisfy the predicate, both under the same configuration."""
+        return Page(self.get_paged_df(predicate, index, size, config=config), self.count(predicate, config), index, size)
 
     # writes
 
@@ -220,8 +222,8 @@ class Repository:
     def remove(self, item) -> None:
         self.unit_of_work.remove(self.entity.name, item)
 
-    def track_item(self, item) -> None:
-        self.unit_of_work.attach(self.entity.name, item)
+    def track_item(self, item):
+        return self.unit_of_work.attach(self.entity.name, item)
 
     def delete_many(self, predicate) -> int:
         return self.unit_of_work.delete_many(self.entity.name, predicate)
@@ -309,32 +311,49 @@ class EntitySet:
     def except_by(self, keys: DataFrame, *on: str) -> EntitySet:
         return self._with(self.df.join(keys, list(on), "left_anti").dropDuplicates(list(on)))
 
-    def take_while(self, predicate: Column, *order: Column) -> EntitySet:
+    # Sort keys of the following are column names, columns with or without a direction, or ``Sort`` objects; nulls come
+    # first ascending and last descending, and rows with equal keys come in the order of all their columns.
+
+    def take_while(self, predicate: Column, *order) -> EntitySet:
         """Rows before the first, in the order given, that fails the predicate."""
         return self._before_first(predicate, order, True)
 
-    def skip_while(self, predicate: Column, *order: Column) -> EntitySet:
+    def skip_while(self, predicate: Column, *order) -> EntitySet:
         return self._before_first(predicate, order, False)
 
     def _before_first(self, predicate: Column, order, before: bool) -> EntitySet:
-        """The first failing row is one aggregate (its sort key), then a comparison with it: no global window."""
-        keys = F.struct(*order)
-        fails = ~F.coalesce(predicate, F.lit(False))
-        marked = self.df.withColumn("__key", keys)
-        first = marked.where(fails).agg(F.min("__key").alias("__first"))
-        rows = marked.crossJoin(F.broadcast(first))  # one row
-        ahead = F.col("__first").isNull() | (F.col("__key") < F.col("__first"))
-        return self._with(rows.where(ahead if before else ~ahead).drop("__key", "__first"))
-
-    def take_last(self, n: int, *order: Column) -> EntitySet:
-        """The last ``n`` rows in the order given."""
-        return self._with(self.df.orderBy(*[F.desc_nulls_last(o) if isinstance(o, str) else o.desc_nulls_last() for o in order]).limit(n))
-
-    def skip_last(self, n: int, *order: Column) -> EntitySet:
-        return self._with(self.df.orderBy(*[F.desc_nulls_last(o) if isinstance(o, str) else o.desc_nulls_last() for o in order]).offset(n))
-
-    def reverse(self, *order: str) -> EntitySet:
-        return self._with(self.df.orderBy(*[F.desc_nulls_last(o) for o in order]))
+        """The first failing row is one top-1, then every row is compared with it: no global window."""
+        keys = total(self.df, order)
+        marked, names = named(self.df, keys)
+        failing = marked.where(~F.coalesce(predicate, F.lit(False))).orderBy(*ordering(keys)).limit(1)
+        first = failing.agg(F.first(F.struct(*names)).alias("__first"))  # one row, null if none fails
+        rows = marked.crossJoin(F.broadcast(first))
+        is_ahead = F.col("__first").isNull() | ahead(names, "__first", keys)
+        return self._with(rows.where(is_ahead if before else ~is_ahead).select(*self.df.columns))
+
+    def take_last(self, n: int, *order) -> EntitySet:
+        """The last ``n`` rows of the order given, in that order."""
+        keys = total(self.df, order)
+        return self._with(self.df.orderBy(*ordering(keys, backwards=True)).limit(n).orderBy(*ordering(keys)))
+
+    def skip_last(self, n: int, *order) -> EntitySet:
+        """All but the last ``n`` rows of the order given: those ahead of the first of these, and equal rows that are left."""
+        keys = total(self.df, order)
+        marked, names = named(self.df, keys)
+        last = marked.orderBy(*ordering(keys, backwards=True)).limit(n)
+        first = last.orderBy(*ordering(keys)).limit(1).agg(F.first(F.struct(*names)).alias("__first"))
+        rows = marked.crossJoin(F.broadcast(first)).where("__first is not null" if n else "true")
+        if n == 0:
+            return self._with(self.df)
+        equal = rows.where(same(names, "__first"))
+        gone = last.crossJoin(F.broadcast(first)).where(same(names, "__first")).agg(F.count(F.lit(1)).alias("__gone"))
+        number = F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(0)))  # copies of one row
+        left = equal.withColumn("__n", number).crossJoin(F.broadcast(gone)).where("__n > __gone")
+        columns = self.df.columns
+        return self._with(rows.where(ahead(names, "__first", keys)).select(*columns).unionByName(left.select(*columns)))
+
+    def reverse(self, *order) -> EntitySet:
+        return self._with(self.df.orderBy(*ordering(sort_keys(self.df, order), backwards=True)))
 
     def join(self, other, on, how: str = "inner") -> DataFrame:
         return self.df.join(_df(other), on, how)
@@ -388,7 +407,7 @@ class EntitySet:
         rows = (self.df.orderBy(*order) if order else self.df).limit(1).collect()
         return rows[0] if rows else None
 
-    def last(self, *order: str):
+    def last(self, *order):
         rows = self.reverse(*order).df.limit(1).collect()
         return rows[0] if rows else None
 
@@ -406,7 +425,8 @@ class EntitySet:
         row = self.df.sparkSession.createDataFrame([tuple(item.get(c) for c in self.df.columns)], self.df.schema)
         return self._with(self.df.unionByName(row))
 
-    prepend = append
+    def prepend(self, item: dict) -> EntitySet:
+        return self._with(self._with(self.df.limit(0)).append(item).df.unionByName(self.df))
 
     def default_if_empty(self, item: dict) -> EntitySet:
         """The rows, or one of ``item`` if there are none."""
@@ -424,16 +444,12 @@ class EntitySet:
 
     def zip(self, other, key: str, other_key: str) -> DataFrame:
         """Rows of both side by side by rank of their sort keys; ranks are numbered by range, never in one task."""
-        from tessera.plans.ranks import with_rank
-
         a = with_rank(self.df, key, "__rank")
         b = with_rank(_df(other), other_key, "__rank")
         return a.join(b, "__rank").drop("__rank")
 
     def chunk(self, size: int, key: str) -> DataFrame:
         """Rows with ``chunk``, the number of the run of ``size`` rows that they are in, by sort key."""
-        from tessera.plans.ranks import with_rank
-
         return with_rank(self.df, key, "__rank").withColumn("chunk", F.floor(F.col("__rank") / size)).drop("__rank")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import threading
 import uuid
 from collections.abc import Callable
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.plans.config import SqlConfig, configured
+from tessera.sources.guard import Call, running
 from tessera.sources.sqltext import bind, parse_command
 
 PROCEDURES: dict[str, Callable] = {}
@@ -36,15 +38,16 @@ class SqlExecutor:
 
     @contextmanager
     def _running(self, config: SqlConfig):
-        """Jobs of the block carry the call's tag; a timer cancels them after the timeout."""
+        """Jobs of the block carry the call's tag; after the timeout a timer cancels them and bars further ones and commits."""
         sc = self.spark.sparkContext
         own = f"sql-{uuid.uuid4().hex}"
         tags = [own] + ([config.tag.replace(",", " ")] if config.tag else [])
         for t in tags:
             sc.addJobTag(t)
-        late = threading.Event()
+        late, call = threading.Event(), Call()
 
         def cancel() -> None:
+            call.stop()
             late.set()
             sc.cancelJobsWithTag(own)
 
@@ -52,7 +55,8 @@ class SqlExecutor:
         if timer:
             timer.start()
         try:
-            yield
+            with running(call):
+                yield
         except Exception as e:
             if late.is_set():
                 raise TimeoutError(f"the call took more than {config.timeout} s") from e
@@ -117,8 +121,6 @@ class SqlExecutor:
     @staticmethod
     def _expression(text: str, args: dict):
         """A column of SQL text with its parameters put in as literals, outside quotes."""
-        import re
-
         def put(m):
             if m[1] is not None or m[2] not in args:
                 return m[0]
@@ -133,7 +135,7 @@ class SqlExecutor:
             kind = type(v).__name__
             return f"{ {'date': 'DATE ', 'datetime': 'TIMESTAMP_NTZ '}.get(kind, '') }'{text}'"
 
-        return F.expr(re.sub(r"('(?:[^'\\]|\\.|'')*'|`[^`]*`)|(?<!:):(\w+)", put, text))
+        return F.expr(re.sub(r"('(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`[^`]*`)|(?<!:):(\w+)", put, text))
 
     def execute_function_df(self, name: str, config=None, table: bool = False) -> DataFrame:
         """``SELECT name(args) AS result`` or, of a table function, its rows."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import copy
 import datetime as dt
+import inspect
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -16,7 +18,10 @@ from tessera.plans.spec import Row as RowProxy
 from tessera.plans.spec import as_column
 from tessera.plans.planner import Scope
 from tessera.sources.catalog import Catalog
-from tessera.sources.store import ConflictError, SnapshotStore
+from tessera.sources.guard import go_on
+from tessera.sources.store import ConflictError, SnapshotStore, plain, without
+
+from .items import Item, as_dict
 
 INSERT, UPSERT, DELETE = "insert", "upsert", "delete"
 #: Keys of a commit that are broadcast at most.
@@ -27,14 +32,19 @@ class MultipleResultsError(Exception):
     """More than one row where one was asked for."""
 
 
+class DuplicateKeyError(ConflictError):
+    """A row is to be added whose key another row has."""
+
+
 @dataclass
 class Changes:
-    """Pending changes of one entity."""
+    """Pending changes of one entity.  Rows to add are held by key, or by a place of their own without one."""
 
-    inserts: list[dict] = field(default_factory=list)
+    inserts: dict[object, dict] = field(default_factory=dict)
     upserts: dict[tuple, dict] = field(default_factory=dict)
     deletes: set[tuple] = field(default_factory=set)
-    tracked: dict[tuple, dict] = field(default_factory=dict)
+    #: Attached dicts and edited items, with what they held before.
+    watched: dict[int, tuple[object, dict]] = field(default_factory=dict)
 
     def count(self) -> int:
         return len(self.inserts) + len(self.upserts) + len(self.deletes)
@@ -49,12 +59,11 @@ class Transaction:
     staged: dict[str, dict] = field(default_factory=dict)
     done: bool = False
 
+    def groups(self, entity: str) -> list[dict]:
+        return self.staged[entity]["groups"] if entity in self.staged else self.store.groups(entity, self.base)
+
     def read(self, entity: str) -> DataFrame:
-        if entity in self.staged:
-            state = self.staged[entity]
-            schema = self.store.schema(entity)
-            return self.store.spark.read.schema(schema).parquet(*state["paths"]) if state["paths"] else self.store.spark.createDataFrame([], schema)
-        return self.store.read(entity, self.base)
+        return self.store.load(self.groups(entity), self.store.schema(entity))
 
 
 class TransactionCatalog(Catalog):
@@ -66,14 +75,10 @@ class TransactionCatalog(Catalog):
 
     def read(self, name: str) -> DataFrame:
         self.entity(name)
-        t = self.uow.transaction
+        t = self.uow.get_transaction()
         return t.read(name) if t is not None else self.store.read(name)
 
 
-def as_dict(item) -> dict:
-    return item.asDict(recursive=True) if isinstance(item, Row) else dict(item)
-
-
 class UnitOfWork:
     """Tracks changes against a snapshot store until ``commit``; reads see committed data only."""
 
@@ -82,7 +87,8 @@ class UnitOfWork:
         self.entities = {e.name: e for e in entities}
         self.changes: dict[str, Changes] = {}
         self.base: int | None = None
-        self.transaction: Transaction | None = None
+        self._transaction: Transaction | None = None
+        self._began_it = False
         self.catalog = TransactionCatalog(self)
 
     def __enter__(self) -> UnitOfWork:
@@ -92,9 +98,12 @@ class UnitOfWork:
         self.dispose()
 
     def dispose(self) -> None:
+        """Drop pending changes; a transaction that this unit of work began is rolled back, one that it joined is left."""
         self.rollback_changes()
-        if self.transaction is not None:
+        t = self._transaction
+        if t is not None and self._began_it and not t.done:
             self.rollback_transaction()
+        self._transaction = None
 
     # repositories and sets
 
@@ -135,33 +144,81 @@ class UnitOfWork:
         return tuple(row[k] for k in e.key)
 
     def add(self, name: str, item) -> None:
-        self._of(name).inserts.append(as_dict(item))
+        """A row to insert; of a row that is to be deleted, its replacement."""
+        c, row = self._of(name), as_dict(item)
+        if not self.catalog.entity(name).key:
+            c.inserts[object()] = row
+            return
+        key = self.key_of(name, row)
+        if key in c.inserts or key in c.upserts:
+            raise DuplicateKeyError(f"a row of {name} with the key {key} is pending")
+        if key in c.deletes:
+            c.deletes.discard(key)
+            c.upserts[key] = row
+        else:
+            c.inserts[key] = row
 
     def modify(self, name: str, item) -> None:
-        self._of(name).upserts[self.key_of(name, item)] = as_dict(item)
+        """New values of a row, stored or still to be inserted."""
+        key, c = self.key_of(name, item), self._of(name)
+        c.deletes.discard(key)
+        (c.inserts if key in c.inserts else c.upserts)[key] = as_dict(item)
 
     set_modified = modify
 
     def merge(self, name: str, persisted, current) -> None:
         """Current values under the key of the persisted row."""
         row = {**as_dict(persisted), **as_dict(current)}
-        key = self.key_of(name, persisted)
-        row.update(zip(self.catalog.entity(name).key, key, strict=True))
-        self._of(name).upserts[key] = row
+        row.update(zip(self.catalog.entity(name).key, self.key_of(name, persisted), strict=True))
+        self.modify(name, row)
 
     apply_current_values = merge
 
     def remove(self, name: str, item) -> None:
-        key = self.key_of(name, item)
-        c = self._of(name)
+        """A row to delete; one that is only to be inserted is not inserted."""
+        key, c = self.key_of(name, item), self._of(name)
         c.upserts.pop(key, None)
-        c.deletes.add(key)
-
-    def attach(self, name: str, item) -> None:
-        self._of(name).tracked[self.key_of(name, item)] = as_dict(item)
+        if c.inserts.pop(key, None) is None:
+            c.deletes.add(key)
+
+    def attach(self, name: str, item):
+        """Watch an item: a dict whose values differ at the next commit is saved; of a row an editable item is returned."""
+        self.key_of(name, item)
+        if isinstance(item, Row):
+            return self.tracked(name, item)
+        if not isinstance(item, Item):
+            self._of(name).watched[id(item)] = (item, copy.deepcopy(as_dict(item)))
+        return item
 
     track_item = attach
 
+    def tracked(self, name: str, row: Row, version: int | None = None) -> Item:
+        """A row as an item whose first edit makes it a pending change; ``version``: the snapshot that it was read from."""
+
+        def edited(item: Item, _: str) -> None:
+            began = self.base
+            c = self._of(name)
+            self.base = min(x for x in (began, item._version, self.base) if x is not None)
+            c.watched.setdefault(id(item), (item, copy.deepcopy(item.asDict())))
+
+        return Item(dict(zip(row.__fields__, row, strict=True)), edited, self.snapshot() if version is None else version)
+
+    def snapshot(self) -> int:
+        """The version that reads see."""
+        t = self.get_transaction()
+        return t.base if t is not None else self.store.version()
+
+    def _collect_edits(self) -> None:
+        """Watched items that were edited as pending changes, unless they are to be changed or deleted otherwise."""
+        for name, c in self.changes.items():
+            for item, before in list(c.watched.values()):
+                row, key = as_dict(item), self.key_of(name, before)
+                if row == before or key in c.deletes or key in c.upserts:
+                    continue
+                if self.key_of(name, row) != key:
+                    raise ValueError(f"the key of a row of {name} was edited")
+                self.modify(name, row)
+
     def rollback_changes(self) -> None:
         self.changes, self.base = {}, None
 
@@ -176,14 +233,15 @@ class UnitOfWork:
         return self._commit(configured(SaveOptions, options), client_wins=True)
 
     def _commit(self, options: SaveOptions, client_wins: bool) -> int:
+        self._collect_edits()
         pending = {n: c for n, c in self.changes.items() if c.count()}
         if not pending:
             self.rollback_changes()
             return 0
         began = self.base
         while True:
-            t = self.transaction
-            latest = t.base if t is not None else self.store.version()
+            t = self.get_transaction()
+            latest = self.snapshot()
             if not client_wins and latest != began:
                 for name, c in pending.items():
                     self._check_untouched(name, c, began, latest)
@@ -220,8 +278,9 @@ class UnitOfWork:
         if not before.exceptAll(after).isEmpty() or not after.exceptAll(before).isEmpty():
             raise ConflictError(f"rows of {name} changed since version {began}")
 
-    def _read(self, name: str, version: int) -> DataFrame:
-        return self.transaction.read(name) if self.transaction is not None else self.store.read(name, version)
+    def _groups(self, name: str, version: int) -> list[dict]:
+        t = self.get_transaction()
+        return t.groups(name) if t is not None else self.store.groups(name, version)
 
     def _rows(self, name: str, rows: list[dict], options: SaveOptions, created: bool) -> DataFrame:
         e, schema = self.catalog.entity(name), self.store.schema(name)
@@ -248,37 +307,53 @@ class UnitOfWork:
     def _apply(self, name: str, c: Changes, version: int, options: SaveOptions, client_wins: bool) -> tuple[dict, int]:
         """New state of an entity: files without touched rows are kept, the others rewritten."""
         e, schema = self.catalog.entity(name), self.store.schema(name)
-        current = self._read(name, version)
-        paths = list(current.inputFiles())
-        fresh, total = [], len(c.inserts)
+        groups = self._groups(name, version)
+        fresh, total, on = [], len(c.inserts), list(e.key)
         touched = [*c.upserts, *c.deletes]
-        if touched:
-            keys = self._keys(name, touched)
-            on = list(e.key)
-            keys = F.broadcast(keys) if len(touched) <= BROADCAST_KEYS else keys
-            hit = current.withColumn("__file", F.input_file_name()).join(keys, on, "left_semi")
+        asked = touched + (list(c.inserts) if on else [])
+        if asked:
+            keys = self._keys(name, asked)
+            keys = F.broadcast(keys) if len(asked) <= BROADCAST_KEYS else keys
+            hit = self.store.load(groups, schema).withColumn("__file", F.input_file_name()).join(keys, on, "left_semi")
             found = hit.select("__file", *on).collect()
             there = {tuple(r[k] for k in on) for r in found}
+            if on and (twice := [k for k in c.inserts if k in there]):
+                raise DuplicateKeyError(f"rows of {name} exist already: {twice[:5]}")
             missing = [k for k in touched if k not in there]
             if missing and not client_wins:
                 raise ConflictError(f"rows of {name} are gone: {missing[:5]}")
             upserts = [r for k, r in c.upserts.items() if k in there]
             total += len(there)
-            names = {r["__file"] for r in found}
-            rewrite = [p for p in paths if p in names or p.replace("file:///", "file:/") in {n.replace("file:///", "file:/") for n in names}]
-            if rewrite:
-                paths = [p for p in paths if p not in rewrite]
-                fresh.append(self.spark.read.schema(schema).parquet(*rewrite).join(keys, on, "left_anti").select(*schema.names))
+            if files := sorted({r["__file"] for r in found}):
+                groups = without(groups, files)
+                fresh.append(self._files(files, schema).join(keys, on, "left_anti").select(*schema.names))
             if upserts:
                 fresh.append(self._rows(name, upserts, options, False))
         if c.inserts:
-            fresh.append(self._rows(name, c.inserts, options, True))
+            fresh.append(self._rows(name, list(c.inserts.values()), options, True))
         if fresh:
             df = fresh[0]
             for x in fresh[1:]:
                 df = df.unionByName(x)
-            paths += self.store.write(name, df)
-        return {"paths": paths, "schema": schema.jsonValue()}, total
+            groups = [*groups, self.store.write(name, df)]
+        return {"groups": groups, "schema": schema.jsonValue()}, total
+
+    def _files(self, files: list[str], schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[plain(f) for f in files])
+
+    def _unique(self, name: str, groups: list[dict], added: DataFrame | None = None) -> None:
+        """``DuplicateKeyError`` if two rows have one key; with ``added``, of which one is among these rows."""
+        on = list(self.catalog.entity(name).key)
+        if not on:
+            return
+        rows = self.store.load(groups, self.store.schema(name)).select(*on)
+        if added is None:
+            twice = rows
+        else:
+            wanted = added.select(*on)
+            twice = wanted.unionByName(rows.join(wanted, on, "left_semi"))
+        if not twice.groupBy(*on).count().where("count > 1").isEmpty():
+            raise DuplicateKeyError(f"rows of {name} with equal keys")
 
     # bulk changes
 
@@ -295,103 +370,124 @@ class UnitOfWork:
 
     def _bulk(self, name: str, predicate, values: dict | None) -> int:
         e, schema = self.catalog.entity(name), self.store.schema(name)
-        while True:
-            t = self.transaction
-            version = t.base if t is not None else self.store.version()
-            current = self._read(name, version)
+
+        def marked(df: DataFrame) -> DataFrame:
             scope = Scope(self.catalog, e)
             condition = as_column(predicate, RowProxy(scope, e))
-            marked = scope.join(current.withColumn("__file", F.input_file_name())).withColumn("__hit", F.coalesce(condition, F.lit(False)))
-            per_file = marked.where("__hit").groupBy("__file").count().collect()
+            return scope.join(df).withColumn("__hit", F.coalesce(condition, F.lit(False)))
+
+        while True:
+            go_on()
+            t, version = self.get_transaction(), self.snapshot()
+            groups = self._groups(name, version)
+            per_file = marked(self.store.load(groups, schema).withColumn("__file", F.input_file_name())).where("__hit").groupBy("__file").count().collect()
             n = sum(r["count"] for r in per_file)
             if n == 0:
                 return 0
-            names = {r["__file"].replace("file:///", "file:/") for r in per_file}
-            files = list(current.inputFiles())
-            rewrite = [p for p in files if p.replace("file:///", "file:/") in names]
-            rest = [p for p in files if p not in rewrite]
-            scope = Scope(self.catalog, e)
-            condition = as_column(predicate, RowProxy(scope, e))
-            rows = scope.join(self.spark.read.schema(schema).parquet(*rewrite)).withColumn("__hit", F.coalesce(condition, F.lit(False)))
+            files = sorted(r["__file"] for r in per_file)
+            rows = marked(self._files(files, schema))
             if values is None:
                 rows = rows.where("not __hit").select(*schema.names)
             else:
                 proxy = RowProxy(Scope(self.catalog, e), e)
                 made = {k: v(proxy) if callable(v) and not hasattr(v, "_jc") else v for k, v in values.items()}
                 rows = rows.select(*[F.when(F.col("__hit"), made[f.name] if hasattr(made[f.name], "cast") else F.lit(made[f.name])).otherwise(F.col(f.name)).cast(f.dataType).alias(f.name) if f.name in made else F.col(f.name) for f in schema])
-            state = {name: {"paths": rest + self.store.write(name, rows), "schema": schema.jsonValue()}}
-            if t is not None:
-                t.staged.update(state)
-                return n
-            try:
-                self.store.publish(version, state)
+            groups = [*without(groups, files), self.store.write(name, rows)]
+            if values is not None and set(values) & set(e.key):
+                self._unique(name, groups)
+            if self._put(t, version, {name: {"groups": groups, "schema": schema.jsonValue()}}):
                 return n
-            except ConflictError:
-                continue
+
+    def _put(self, t: Transaction | None, version: int, state: dict) -> bool:
+        """Into the open transaction, or published; False if another commit came first."""
+        if t is not None:
+            go_on()
+            t.staged.update(state)
+            return True
+        try:
+            self.store.publish(version, state)
+            return True
+        except ConflictError:
+            return False
 
     def insert_many(self, name: str, rows: DataFrame) -> int:
         """Append rows of a query, at once."""
         schema = self.store.schema(name)
+        group = self.store.write(name, rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]))
+        new = self.store.load([group], schema)
+        n = new.count()
         while True:
-            t = self.transaction
-            version = t.base if t is not None else self.store.version()
-            new = self.store.write(name, rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema]))
-            n = self.spark.read.parquet(*new).count() if new else 0
-            state = {name: {"paths": list(self._read(name, version).inputFiles()) + new, "schema": schema.jsonValue()}}
-            if t is not None:
-                t.staged.update(state)
-                return n
-            try:
-                self.store.publish(version, state)
+            go_on()
+            t, version = self.get_transaction(), self.snapshot()
+            groups = self._groups(name, version)
+            self._unique(name, groups, new)
+            if self._put(t, version, {name: {"groups": [*groups, group], "schema": schema.jsonValue()}}):
                 return n
-            except ConflictError:
-                continue
 
     # transactions
 
+    @property
+    def transaction(self) -> Transaction | None:
+        return self.get_transaction()
+
     def begin_transaction(self) -> Transaction:
-        if self.transaction is not None:
+        if self.get_transaction() is not None:
             raise RuntimeError("a transaction is open")
-        self.transaction = Transaction(self.store, self.store.version())
-        return self.transaction
+        self._transaction, self._began_it = Transaction(self.store, self.store.version()), True
+        return self._transaction
 
     def commit_transaction(self) -> None:
+        """Publish what the transaction has staged; on a conflict it stays open, to be rolled back."""
         t = self._open()
-        if t.staged and not t.done:
+        if t.staged:
             self.store.publish(t.base, t.staged)
-        t.done, self.transaction = True, None
+        t.done, self._transaction = True, None
 
     def rollback_transaction(self) -> None:
         t = self._open()
         t.staged.clear()
-        t.done, self.transaction = True, None
+        t.done, self._transaction = True, None
 
     def _open(self) -> Transaction:
-        if self.transaction is None:
+        t = self.get_transaction()
+        if t is None:
             raise RuntimeError("no transaction is open")
-        return self.transaction
+        return t
 
     def get_transaction(self) -> Transaction | None:
-        return self.transaction
+        """The open transaction; ``RuntimeError`` once another unit of work has ended the one that this joined."""
+        if self._transaction is not None and self._transaction.done:
+            raise RuntimeError("the transaction has ended; use_transaction(None) leaves it")
+        return self._transaction
 
     def use_transaction(self, transaction: Transaction | None) -> None:
-        """Join a transaction that another unit of work began."""
-        self.transaction = transaction
+        """Join a transaction that another unit of work began, or leave it (None)."""
+        if transaction is not None and transaction.done:
+            raise RuntimeError("the transaction has ended")
+        if transaction is not None and transaction.store is not self.store and transaction.store.root != self.store.root:
+            raise ValueError("the transaction is of another store")
+        self._transaction, self._began_it = transaction, False
 
     @contextmanager
     def scoped_transaction(self):
-        """Commit at the end of the block, roll back if it raises."""
+        """Commit at the end of the block; roll back if it raises or the commit fails."""
         self.begin_transaction()
         try:
             yield self
+            self.commit_transaction()
         except BaseException:
-            self.rollback_transaction()
+            if self._transaction is not None and not self._transaction.done:
+                self.rollback_transaction()
             raise
-        self.commit_transaction()
 
-    def execute_transaction(self, action) -> None:
+    def execute_transaction(self, action):
+        """``action(self)`` in a transaction of its own; coroutine functions belong to the asynchronous form."""
         with self.scoped_transaction():
-            action(self)
+            result = action(self)
+            if inspect.isawaitable(result):
+                getattr(result, "close", lambda: None)()
+                raise TypeError("an asynchronous action needs the asynchronous unit of work")
+            return result
 
     # explicit loads
 
@@ -427,24 +523,25 @@ class UnitOfWork:
             c = self.changes[name]
             c.upserts.pop(key, None)
             c.deletes.discard(key)
-            c.tracked.pop(key, None)
+            c.watched = {i: (x, b) for i, (x, b) in c.watched.items() if self.key_of(name, b) != key}
         return self.repository(name).get(key if len(key) > 1 else key[0])
 
     # migrations
 
-    def get_pending_migrations(self) -> list[str]:
+    def get_pending_migrations(self, known: list | None = None) -> list[str]:
+        """Titles of the migrations (all registered ones, or those given) that have not run, in order of their dates."""
         from .migrations import REGISTRY
 
         applied = set(self.store.manifest(self.store.version())["ledger"])
-        return [m.title for m in sorted(REGISTRY, key=lambda m: (m.when, m.title)) if m.title not in applied]
+        return [m.title for m in sorted(REGISTRY if known is None else known, key=lambda m: (m.when, m.title)) if m.title not in applied]
 
-    def update_database(self) -> list[str]:
+    def update_database(self, known: list | None = None) -> list[str]:
         """Run pending migrations in order of their dates; each is recorded when it has run."""
         from .migrations import REGISTRY
 
         done = []
-        by_title = {m.title: m for m in REGISTRY}
-        for title in self.get_pending_migrations():
+        by_title = {m.title: m for m in (REGISTRY if known is None else known)}
+        for title in self.get_pending_migrations(known):
             by_title[title].action(self)
             while True:
                 version = self.store.version()

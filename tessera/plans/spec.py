@@ -7,6 +7,7 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column as PlainColumn
 
 if TYPE_CHECKING:
     from .planner import Scope
@@ -63,6 +64,35 @@ class Row:
         return self[name]
 
 
+class Test(PlainColumn):
+    """A conjunction that holds tests of related rows: a column like any other, whose parts the planner can take apart.
+
+    ``sets`` are (flag column, whether it is negated), ``others`` the remaining conjuncts.  Anything but ``&`` and the
+    negation of a single test makes a plain column of it.
+    """
+
+    def __new__(cls, column, sets=(), others=()):
+        return object.__new__(cls)
+
+    def __init__(self, column, sets=(), others=()):
+        super().__init__(column._jc)
+        self.sets, self.others = tuple(sets), tuple(others)
+
+    def __and__(self, other):
+        sets, others = (other.sets, other.others) if isinstance(other, Test) else ((), (other,))
+        return Test(PlainColumn.__and__(self, other), self.sets + sets, self.others + others)
+
+    def __rand__(self, other):
+        return Test(PlainColumn.__and__(other, self), self.sets, (other, *self.others))
+
+    def __invert__(self):
+        plain = PlainColumn.__invert__(self)
+        if self.others or len(self.sets) != 1:
+            return plain
+        name, negated = self.sets[0]
+        return Test(plain, ((name, not negated),))
+
+
 class Related:
     """The rows that a to-many navigation leads to."""
 

@@ -36,10 +36,12 @@ def repo(spark: SparkSession, sf_dir: str, name: str, **filters) -> Repository:
 
 
 def store_root(spark: SparkSession) -> str:
-    """A new folder for snapshots: in the shared folder of the cluster, else (tests) a local one."""
+    """A new folder for snapshots: in the shared folder of the cluster, else, on one machine only, a local one."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if shared:
         return f"{shared.rstrip('/')}/snapshots-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("a cluster needs spark.checkpoint.dir")
     folder = tempfile.mkdtemp(prefix="tessera-store-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return f"file://{folder}"
@@ -464,3 +466,6 @@ def linq_except(spark, d):
 @query("SELECT c.* FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 100000)")
 def linq_semi_join(spark, d):
     return repo(spark, d, "customer").get_filtered_df(lambda c: c.orders.any(lambda o: o.o_totalprice > 100000))
+
+
+from tessera import forms  # noqa: E402, F401 - registers the rest of the catalogue

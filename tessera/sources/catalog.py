@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.plans.entity import Entity
 
+from .sqltext import PARTS
 from .store import SnapshotStore
 
 
@@ -36,8 +39,15 @@ class Catalog:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def sql(self, text: str, args=None) -> DataFrame:
-        """Spark SQL over the entities, each as a view of its name."""
+        """Spark SQL over the entities, each as a view of its name.
+
+        Views live in a copy of the session that only this call sees, so neither the caller's views nor those of
+        other calls are touched.
+        """
+        spark = SparkSession(self.spark.sparkContext, self.spark._jsparkSession.cloneSession())
+        words = {w.lower() for w in re.findall(r"\w+", PARTS.sub(lambda m: m[0] if m[0][0] == "`" else " ", text))}
         for name in self.entities:
-            if name.lower() in text.lower():
-                self.read(name).createOrReplaceTempView(name)
-        return self.spark.sql(text, args=args) if args else self.spark.sql(text)
+            if name.lower() in words:
+                rows = self.read(name)._jdf.queryExecution().analyzed()
+                spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(spark._jsparkSession, rows).createOrReplaceTempView(name)
+        return spark.sql(text, args=args) if args else spark.sql(text)

@@ -115,12 +115,47 @@ def test_pushdown_and_top_k(spark, sf):
     assert "Join" not in plan_of(r.count_df())
 
 
+def test_pages_and_tests_of_related_rows_join_little(spark, sf):
+    """A page's to-many rows are reduced by its keys before they are shuffled; conjuncts are semi and anti joins."""
+    c = catalog(spark, sf)
+    orders = Repository(c, c.entity("orders"))
+    text = plan_of(orders.get_paged_df(0, 20, config=ReadConfig().with_properties("lineitems")))
+    assert text.index("ObjectHashAggregate") < text.index("LeftSemi")
+    got = {r.o_orderkey: len(r.lineitems) for r in orders.get_paged(0, 20, config=ReadConfig().with_properties("lineitems"))}
+    full = {r.o_orderkey: len(r.lineitems) for r in orders.get_all(ReadConfig().with_properties("lineitems"))}
+    assert len(got) == 20 and got == {k: full[k] for k in got}
+    some, none = orders.get_filtered_df(lambda o: (o.o_totalprice > 0) & o.lineitems.any(lambda x: x.l_quantity > 40)), orders.get_filtered_df(lambda o: o.lineitems.none())
+    assert "LeftSemi" in plan_of(some) and "LeftAnti" in plan_of(none)
+    either = orders.get_filtered_df(lambda o: o.lineitems.any(lambda x: x.l_quantity > 40) | o.lineitems.none())
+    twice = orders.get_filtered_df(lambda o: (t := o.lineitems.none()) & (t | (o.o_totalprice > 0)))
+    both = orders.get_filtered_df(Where(lambda o: o.lineitems.any()) & Where(lambda o: o.lineitems.none()))
+    assert either.count() == some.count() + none.count() and twice.count() == none.count() and both.count() == 0
+
+
 def test_page_with_total(spark, sf):
     c = catalog(spark, sf)
     page = Repository(c, c.entity("orders")).find_page("o_orderstatus = 'F'", 0, 5)
     assert page.items.count() == 5 and page.total > 5
 
 
+def test_order_of_the_ends(spark):
+    """Descending keys, nulls, ties and equal rows at the cut."""
+    rows = [(3, "c"), (1, "a"), (1, "a"), (None, "n"), (2, "b"), (2, "x"), (1, "a")]
+    s = EntitySet(of(spark, rows, "x int, y string", key=()))
+    got = lambda e: [tuple(r) for r in e.df.collect()]
+    assert got(s.take_last(2, "x")) == [(2, "x"), (3, "c")] and got(s.take_last(2, F.col("x").desc())) == [(1, "a"), (None, "n")]
+    assert sorted(got(s.skip_last(5, Sort("x"), "y")), key=repr) == [(1, "a"), (None, "n")]
+    assert sorted(got(s.skip_last(2, F.col("x").desc())), key=repr) == [(1, "a"), (1, "a"), (2, "b"), (2, "x"), (3, "c")]
+    assert s.skip_last(0, "x").count() == 7 and s.skip_last(9, "x").count() == 0
+    assert sorted(got(s.take_while(F.col("y") != "x", F.col("x").desc()))) == [(2, "b"), (3, "c")]
+    assert sorted(got(s.skip_while(F.col("y") != "x", F.col("x").desc())), key=repr) == [(1, "a"), (1, "a"), (1, "a"), (2, "x"), (None, "n")]
+    assert s.take_while(F.lit(True), "x").count() == 7 and s.skip_while(F.lit(True), "x").count() == 0
+    assert s.last("x").x == 3 and got(s.reverse(F.col("x").desc()))[0] == (None, "n")
+    assert got(s.where("x = 3").prepend({"x": 0, "y": "p"})) == [(0, "p"), (3, "c")]
+    names = EntitySet(of(spark, [(f"k{i:03d}", i) for i in range(300)], "k string, i int", key=("k",)))
+    assert {r.i for r in names.chunk(100, "k").where("chunk = 1").collect()} == set(range(100, 200))
+
+
 def test_set_operators(spark):
     s = EntitySet(of(spark, [(i, i % 3) for i in range(10)], "id int, x int"))
     assert s.skip(2).take(3).count() == 3 and s.distinct_by("x").count() == 3 and s.sum("id") == 45 and s.average("x") == 0.9

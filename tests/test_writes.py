@@ -3,15 +3,16 @@
 import asyncio
 import datetime as dt
 import os
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.ident import EPOCH_TICKS, is_guid, sequential_guid, sequential_guid_column, time_order
 from tessera.operators import migrations
-from tessera.operators.aio import AsyncSqlExecutor
+from tessera.operators.aio import Async, AsyncSqlExecutor
 from tessera.operators.sql import SqlExecutor
-from tessera.operators.uow import UnitOfWork
+from tessera.operators.uow import DuplicateKeyError, UnitOfWork
 from tessera.plans.config import ParamValue, SaveOptions, SqlConfig
 from tessera.plans.entity import Entity
 from tessera.queries import unit
@@ -211,3 +212,184 @@ def test_guids(spark):
     assert [r.id for r in rows] == list(range(50)) and len({r.g for r in rows}) == 50
     assert df.where(is_guid(F.col("g"))).count() == 50
     assert spark.createDataFrame([("x",), ("{" + g + "}",), (g + "‌",)], "g string").where(is_guid(F.col("g"))).count() == 1
+
+
+def test_inserts_and_changes_of_one_item_in_any_order(spark, tmp_path):
+    u = uow(spark, seeded(spark, tmp_path, [(1, 0), (2, 0)]))
+    u.add("t", {"id": 3, "x": 1})
+    u.modify("t", {"id": 3, "x": 2})
+    u.add("t", {"id": 4, "x": 1})
+    u.remove("t", {"id": 4})
+    u.remove("t", {"id": 1})
+    u.add("t", {"id": 1, "x": 9})
+    assert u.commit() == 2 and content(u) == [(1, 9), (2, 0), (3, 2)]
+
+
+def test_keys_stay_unique(spark, tmp_path):
+    u = uow(spark, seeded(spark, tmp_path, [(1, 0), (2, 0)]))
+    u.add("t", {"id": 3, "x": 0})
+    with pytest.raises(DuplicateKeyError):
+        u.add("t", {"id": 3, "x": 1})
+    u.rollback_changes()
+    u.add("t", {"id": 1, "x": 1})
+    for commit in (u.commit, u.commit_and_refresh_changes):
+        with pytest.raises(DuplicateKeyError):
+            commit()
+    u.rollback_changes()
+    with pytest.raises(DuplicateKeyError):
+        u.insert_many("t", spark.createDataFrame([(5, 0), (5, 1)], "id int, x int"))
+    with pytest.raises(DuplicateKeyError):
+        u.executor().execute_command("INSERT INTO t VALUES (2, 7)")
+    with pytest.raises(DuplicateKeyError):
+        u.update_many("t", "true", {"id": 1})
+    assert content(u) == [(1, 0), (2, 0)] and u.store.version() == 0
+
+
+def test_edits_of_tracked_items_are_saved(spark, tmp_path):
+    u = uow(spark, seeded(spark, tmp_path, [(1, 0), (2, 0), (3, 0)]))
+    one, two = u.repository("t").get(1), u.repository("t").get(2)
+    one.x = 5
+    own = {"id": 3, "x": 0}
+    u.attach("t", own)
+    assert u.commit() == 1 and content(u)[0] == (1, 5)
+    own["x"] = 8
+    assert u.commit() == 0  # no longer watched
+    two["x"] = 7
+    u.rollback_changes()
+    assert u.commit() == 0
+    two.x = 6
+    u.attach("t", own)
+    own["x"] = 9
+    assert u.commit() == 2 and content(u) == [(1, 5), (2, 6), (3, 9)]
+    with pytest.raises(AttributeError):
+        two.nothing = 1
+    two.id = 9
+    with pytest.raises(ValueError):
+        u.commit()
+
+
+def test_edit_of_a_row_that_changed_since_it_was_read(spark, tmp_path):
+    store = seeded(spark, tmp_path, [(1, 0), (2, 0)])
+    a, b = uow(spark, store), uow(spark, store)
+    item = a.repository("t").get(1)
+    b.update_many("t", "id = 1", {"x": 3})
+    item.x = 4
+    with pytest.raises(ConflictError):
+        a.commit()
+    assert a.commit_and_refresh_changes() == 1 and content(b) == [(1, 4), (2, 0)]
+
+
+def test_ended_transactions_take_no_writes(spark, tmp_path):
+    a = uow(spark, seeded(spark, tmp_path, [(1, 0), (2, 0)]))
+    b = uow(spark, a.store)
+    handle = a.begin_transaction()
+    b.use_transaction(handle)
+    a.delete_many("t", "id = 2")
+    a.commit_transaction()
+    b.add("t", {"id": 5, "x": 0})
+    for call in (lambda: b.delete_many("t", "id = 1"), b.commit_transaction, b.rollback_transaction, b.commit, lambda: b.catalog.read("t"), lambda: uow(spark, a.store).use_transaction(handle)):
+        with pytest.raises(RuntimeError):
+            call()
+    b.use_transaction(None)
+    assert b.commit() == 1 and content(b) == [(1, 0), (5, 0)]
+
+
+def test_joined_transactions_survive_dispose(spark, tmp_path):
+    a = uow(spark, seeded(spark, tmp_path, [(1, 0), (2, 0)]))
+    b = uow(spark, a.store)
+    b.use_transaction(a.begin_transaction())
+    b.delete_many("t", "id = 1")
+    b.dispose()
+    a.commit_transaction()
+    assert content(a) == [(2, 0)]
+
+
+def test_scope_closes_after_a_conflict(spark, tmp_path):
+    a = uow(spark, seeded(spark, tmp_path, [(1, 0), (2, 0)]))
+    with pytest.raises(ConflictError):
+        with a.scoped_transaction():
+            a.delete_many("t", "id = 1")
+            uow(spark, a.store).delete_many("t", "id = 2")
+    assert a.get_transaction() is None and content(a) == [(1, 0)]
+
+
+def test_asynchronous_actions(spark, tmp_path):
+    u = uow(spark, seeded(spark, tmp_path, [(1, 0), (2, 0), (3, 0)]))
+
+    async def drop(x):
+        return await x.delete_many("t", "id = 1")
+
+    async def fail(x):
+        await x.delete_many("t", "id = 2")
+        raise KeyError("no")
+
+    with pytest.raises(TypeError):
+        u.execute_transaction(drop)
+    assert content(u) == [(1, 0), (2, 0), (3, 0)]
+    assert asyncio.run(AsyncSqlExecutor(u.executor()).execute_transaction(lambda x: Async(u).delete_many("t", "id = 3"))) == 1
+    assert asyncio.run(Async(u).execute_transaction(drop)) == 1
+    with pytest.raises(KeyError):
+        asyncio.run(Async(u).execute_transaction(fail))
+    assert content(u) == [(2, 0)] and u.get_transaction() is None
+
+
+@pytest.mark.parametrize("how", ["timeout", "cancel"])
+def test_nothing_is_published_after_a_stop(spark, tmp_path, how, monkeypatch):
+    """The call is stopped between its jobs: what it would have written doesn't take effect."""
+    u = uow(spark, seeded(spark, tmp_path, [(1, 0), (2, 0)]))
+    write = SnapshotStore.write
+
+    def slowly(self, *a):
+        time.sleep(2.5)
+        return write(self, *a)
+
+    monkeypatch.setattr(SnapshotStore, "write", slowly)
+    if how == "timeout":
+        with pytest.raises(TimeoutError):
+            u.executor().execute_command("DELETE FROM t WHERE id = 1", SqlConfig().with_command_timeout(1.5))
+    else:
+
+        async def run():
+            task = asyncio.create_task(Async(u).delete_many("t", "id = 1"))
+            await asyncio.sleep(1.5)
+            task.cancel()
+            with pytest.raises(asyncio.CancelledError):
+                await task
+
+        asyncio.run(run())
+    time.sleep(3)
+    assert u.store.version() == 0
+
+
+def test_views_are_the_calls_own(spark, sf):
+    spark.range(3).createOrReplaceTempView("region")
+    try:
+        u = unit(spark, sf)
+        later = u.executor().execute_query_df("SELECT r_name FROM region WHERE r_name <> 'nation'")
+        u.delete_many("region", "r_regionkey = 0")
+        assert u.executor().execute_command("SELECT * FROM region") == 4 and later.count() == 5
+        assert spark.table("region").columns == ["id"] and not spark.catalog.tableExists("nation")
+    finally:
+        spark.catalog.dropTempView("region")
+
+
+def test_command_grammar():
+    c = parse_command("/* x */ UPDATE t AS a SET a.x = a.y + 1, z = \"a.b, where\" WHERE a.id = 3 AND s = 'a.q' -- end")
+    assert c.table == "t" and c.assignments == (("x", "y + 1"), ("z", '"a.b, where"')) and c.where == "id = 3 AND s = 'a.q'"
+    c = parse_command("DELETE FROM t a WHERE a.id IN (1, 2)")
+    assert c.table == "t" and c.where == "id IN (1, 2)" and parse_command("delete from t").where is None
+    assert parse_command("UPDATE t SET t.x = 1").assignments == (("x", "1"),)
+
+
+def test_manifest_does_not_list_files(spark, tmp_path):
+    store = seeded(spark, tmp_path, [(i, 0) for i in range(40)], files=8)
+    u = uow(spark, store)
+    u.add("t", {"id": 99, "x": 1})
+    u.commit()
+    assert [g["gone"] for g in store.groups("t", 1)] == [[], []]
+    u.delete_many("t", "id = 3")
+    first = store.groups("t", 2)[0]
+    seed = [f for f in store.files("t", 2) if "/seed/" in f]
+    assert len(first["gone"]) == 1 and len(seed) == 7 and len(content(u)) == 40
+    u.delete_many("t", "true")
+    assert content(u) == []
