@@ -36,7 +36,9 @@ ALPHA = 1.0
 #: Characters whose lattices are held at once.
 STEP = 1 << 21
 #: Characters of distinct units whose lattices a task keeps at most, besides those of one slice.
-CACHE_CHARS = 1 << 20
+CACHE_CHARS = 3 << 19
+#: Bits of the table in which prefixes of pieces are looked up.
+SLOT_BITS = 19
 #: Units up to this length are grouped by exact length, longer ones by multiples of 8.
 EXACT = 16
 #: Below this mass what is left of a unit is summed over its lattice, not taken from 1, and sampled there.
@@ -50,11 +52,21 @@ OWN_MARK = "\ud800"
 UNITS = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 
 
+def utf8_size(code: np.ndarray) -> np.ndarray:
+    """Bytes of each code point."""
+    return 1 + (code > 0x7F).astype(np.int32) + (code > 0x7FF) + (code > 0xFFFF)
+
+
 def uniform(key: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1), a function of 64-bit keys."""
     return (mix64(key) >> np.uint64(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
 
 
+def uniform32(key: np.ndarray) -> np.ndarray:
+    """The same in single precision, in (0, 1]."""
+    return (mix64(key) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24) + np.float32(2.0**-25)
+
+
 class Numbers(dict):
     """Numbers what is asked for, in order of first sight."""
 
@@ -83,18 +95,22 @@ class Vocabulary:
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = self.sp.get_piece_size()
-        self.text = [self.sp.id_to_piece(i) for i in range(n)]
+        n_pieces = self.sp.get_piece_size()
+        self.text = [self.sp.id_to_piece(i) for i in range(n_pieces)]
         self.byte = np.zeros(256, dtype=np.int64)
-        self.byte_of: dict[int, int] = {}
+        spells = [t.replace(BLANK, " ").encode() for t in self.text]
         own = []
         for i, t in enumerate(self.text):
             if self.sp.is_byte(i):
                 self.byte[int(t[3:5], 16)] = i
-                self.byte_of[i] = int(t[3:5], 16)
+                spells[i] = bytes([int(t[3:5], 16)])
             elif not (self.sp.is_control(i) or self.sp.is_unknown(i)) and len(UNITS.findall(t)) == 1:
                 own.append(i)
         self.spelled = Spelled(self.byte)
+        #: What pieces spell, in UTF-8, one after the other.
+        self.letters = np.frombuffer(b"".join(spells), dtype=np.uint8)
+        self.letters_of = np.array([len(x) for x in spells])
+        self.letters_at = np.cumsum(self.letters_of) - self.letters_of
         rank = np.arange(len(own))
         logs = -alpha * np.log(rank + 2.0)
         self.byte_weight = float(-alpha * np.log(len(own) + 2.0) * 2)
@@ -110,30 +126,51 @@ class Vocabulary:
             known[t] = (known[t[:-1]] * int(PRIME) + ord(t[-1]) + 1) & (2**64 - 1)
         h = np.array([known[t] for t in of], dtype=np.uint64)
         order = np.argsort(h)
-        self.hashes, self.ranks = h[order], np.array(list(of.values()))[order]
-        self.ids, self.weights = np.array(own), logs.astype(np.float32)
-        if len(np.unique(self.hashes)) != len(of):
+        # slot: the only entry that falls there, -1 for several, the last entry (of no prefix) for none
+        self.hashes, self.ranks = np.append(h[order], np.uint64(0)), np.append(np.array(list(of.values()))[order], -1)
+        self.ids, self.weights = np.array(own, dtype=np.int32), logs.astype(np.float32)
+        if len(np.unique(self.hashes)) != len(of) + 1:
             raise ValueError("piece hashes collide")
+        slot = self.slot(self.hashes[:-1])
+        self.slots = np.full(1 << SLOT_BITS, len(of), dtype=np.int32)
+        self.slots[slot] = np.arange(len(of), dtype=np.int32)
+        self.slots[np.bincount(slot, minlength=1 << SLOT_BITS) > 1] = -1
+        self.by_id = np.zeros(n_pieces, dtype=np.float32)
+        self.by_id[self.ids] = self.weights
+
+    @staticmethod
+    def slot(h: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (h * GOLD) >> np.uint64(64 - SLOT_BITS)
+
+    def lookup(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each hash is that of a prefix of a piece, and the rank of the piece that it is (-1: none)."""
+        at = self.slots[self.slot(h)]
+        several = np.flatnonzero(at < 0)
+        if len(several):
+            at[several] = np.minimum(np.searchsorted(self.hashes[:-1], h[several]), len(self.hashes) - 2)
+        hit = self.hashes[at] == h
+        return hit, np.where(hit, self.ranks[at], -1)
+
+    def log_weights(self, ids: np.ndarray) -> np.ndarray:
+        """Log weights of pieces; negative ones are characters by bytes."""
+        out = self.by_id[np.maximum(ids, 0)]
+        lost = ids < 0
+        if lost.any():
+            out[lost] = self.byte_weight * utf8_size(-1 - ids[lost].astype(np.int64))
+        return out
 
     def normal(self, text: str) -> str:
         """The text as pieces spell it: blanks marked, one before the first word; a mark of the text itself goes by bytes."""
         return BLANK + text.replace(BLANK, OWN_MARK).replace(" ", BLANK) if text else ""
 
-    def decode(self, ids: list[int]) -> str:
+    def decode(self, ids: list[int] | np.ndarray) -> str:
         """The text that pieces spell."""
-        text, byte_of = self.text, self.byte_of
-        if byte_of.keys().isdisjoint(ids):
-            return "".join(map(text.__getitem__, ids)).replace(BLANK, " ")[1:]
-        parts, run = [], bytearray()
-        for i in ids:
-            if i in byte_of:
-                run.append(byte_of[i])
-            else:
-                if run:
-                    parts.append(run.decode("utf-8", "replace"))
-                    run = bytearray()
-                parts.append(text[i].replace(BLANK, " "))
-        return ("".join(parts) + run.decode("utf-8", "replace"))[1:]
+        ids = np.asarray(ids, dtype=np.int64)
+        size = self.letters_of[ids]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ids) else 0) + np.repeat(self.letters_at[ids] - ends + size, size)
+        return self.letters[at].tobytes().decode("utf-8", "replace")[1:]
 
     def with_bytes(self, ids: np.ndarray) -> np.ndarray:
         """Pieces with each negative one (-1 - code point) replaced by its byte pieces."""
@@ -151,77 +188,122 @@ class Vocabulary:
 
 
 class Lattices:
-    """Forward sums and backward choices of units of similar length, and sampling from them."""
-
-    def __init__(self, vocabulary: Vocabulary, units: list[str], width: int):
-        n, most = len(units), min(width, vocabulary.longest)
-        self.length = np.array([len(u) for u in units])
-        codes = np.zeros((n, width + 1), dtype=np.int64)  # 0 ends a unit
+    """Forward sums and backward choices of units of one width, and sampling from them.
+
+    Each is built for many units together, position by position, with the units side by side in memory.
+    """
+
+    NONE = np.int32(-(2**31))  #: no piece
+
+    def __init__(self, vocabulary: Vocabulary, width: int):
+        self.v, self.width, self.most, self.size = vocabulary, width, min(width, vocabulary.longest), 0
+        self.length = np.zeros(0, dtype=np.int64)
+        self.ids = np.zeros((0, width + 1, self.most), dtype=np.int32)  # by end and length
+        self.cumulative = np.zeros((0, width + 1, self.most), dtype=np.float32)
+        self.total = np.zeros((0, width + 1))
+
+    def add(self, units: list[str]) -> int:
+        """Take in units; the row of the first."""
+        first, self.size = self.size, self.size + len(units)
+        if self.size > len(self.length):
+            room = max(self.size, len(self.length) * 5 // 4)
+            for name in ("length", "ids", "cumulative", "total"):
+                old = getattr(self, name)
+                new = np.empty((room, *old.shape[1:]), dtype=old.dtype)
+                new[:first] = old[:first]
+                setattr(self, name, new)
+        self.build(units, slice(first, self.size))
+        return first
+
+    def build(self, units: list[str], rows: slice) -> None:
+        v, n, width, most = self.v, len(units), self.width, self.most
+        length = np.array([len(u) for u in units])
+        codes = np.zeros((n, width + 1), dtype=np.uint64)  # 0 ends a unit
         flat = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype="<u4")
-        codes[np.arange(width + 1)[None, :] < self.length[:, None]] = flat.astype(np.int64) + 1
-        edge = np.full((n, width + 1, most), -np.inf, dtype=np.float32)  # by end and length
-        ids = np.zeros((n, width + 1, most), dtype=np.int32)
-        edge_at, id_at, c = edge.reshape(-1, most), ids.reshape(-1, most), codes.reshape(-1).astype(np.uint64)
-        start = np.flatnonzero(codes)
+        codes[np.arange(width + 1)[None, :] < length[:, None]] = flat.astype(np.uint64) + np.uint64(1)
+        c = codes.T.reshape(-1)  # by place, then unit
+        ids = np.full((width + 1, most, n), self.NONE)
+        edge = np.full((width + 1, most, n), -np.inf, dtype=np.float32)
+        edge_at, id_at, start = edge.reshape(-1), ids.reshape(-1), np.flatnonzero(c)
         h = c[start]
+        to = start + (start // n + 1) * ((most - 1) * n) + n  # edge of length 1 from each place
         for k in range(most):
-            at = np.minimum(np.searchsorted(vocabulary.hashes, h), len(vocabulary.hashes) - 1)
-            hit = vocabulary.hashes[at] == h
-            rank = np.where(hit, vocabulary.ranks[at], -1)
+            hit, rank = v.lookup(h)
             own = rank >= 0
-            edge_at[start[own] + k + 1, k] = vocabulary.weights[rank[own]]
-            id_at[start[own] + k + 1, k] = vocabulary.ids[rank[own]]
+            at, r = to[own], rank[own]
+            edge_at[at], id_at[at] = v.weights[r], v.ids[r]
             if k == 0 and not own.all():
-                lost = start[~own]
-                code = codes.reshape(-1)[lost] - 1
-                size = 1 + (code > 0x7F).astype(np.int32) + (code > 0x7FF) + (code > 0xFFFF)
-                edge_at[lost + 1, 0], id_at[lost + 1, 0] = vocabulary.byte_weight * size, -1 - code
-            start, h = start[hit], h[hit]
+                lost = ~own
+                code = c[start[lost]].astype(np.int64) - 1
+                edge_at[to[lost]], id_at[to[lost]] = v.byte_weight * utf8_size(code), -1 - code
+            start, h, to = start[hit] + n, h[hit], to[hit] + (most + 1) * n
             if len(start) == 0:
                 break
             with np.errstate(over="ignore"):
-                h = h * PRIME + c[np.minimum(start + k + 1, len(c) - 1)]
-        total = np.zeros((n, width + 1))
-        cumulative = np.zeros((n, width + 1, most), dtype=np.float32)
+                h = h * PRIME + c[np.minimum(start, len(c) - 1)]
+        total = np.zeros((width + 1, n))
+        cumulative = np.zeros((width + 1, most, n), dtype=np.float32)
         for j in range(1, width + 1):
             k = min(j, most)
-            x = total[:, j - k : j][:, ::-1] + edge[:, j, :k]
-            top = x.max(axis=1, keepdims=True)
+            x = total[j - k : j][::-1] + edge[j, :k]
+            top = x.max(axis=0)
             top[np.isneginf(top)] = 0.0  # beyond the unit's end
             p = np.exp((x - top).astype(np.float32))
-            s = np.maximum(p.sum(axis=1), np.float32(1e-30))
-            total[:, j] = top[:, 0] + np.log(s)
-            cumulative[:, j, :k] = np.cumsum(p / s[:, None], axis=1)
-            cumulative[:, j, k - 1 :] = 1.0
-        self.edge, self.ids, self.total, self.cumulative = edge, ids, total, cumulative
-
-    def extend(self, other: Lattices) -> None:
-        for name in ("length", "edge", "ids", "total", "cumulative"):
-            setattr(self, name, np.concatenate([getattr(self, name), getattr(other, name)]))
-
-    def sample(self, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each draw: pieces from last to first (negative: a character by bytes), how many, log probability."""
-        n, width = len(unit), self.cumulative.shape[1] - 1
-        at = self.length[unit].copy()
-        log_p = -self.total[unit, at]
-        out = np.zeros((n, width), dtype=np.int32)
+            s = np.maximum(p.sum(axis=0), np.float32(1e-30))
+            total[j] = top + np.log(s)
+            np.cumsum(p, axis=0, out=cumulative[j, :k])
+            cumulative[j, :k] /= np.maximum(cumulative[j, k - 1], np.float32(1e-30))  # 1 from the last piece on, so that none is drawn after it
+            cumulative[j, k:] = 1.0
+        self.length[rows], self.ids[rows], self.cumulative[rows], self.total[rows] = length, ids.transpose(2, 0, 1), cumulative.transpose(2, 0, 1), total.T
+
+    def edges(self, unit, j) -> np.ndarray:
+        """Log weights of the pieces that end at ``j``, by length."""
+        ids = self.ids[unit, j]
+        return np.where(ids == self.NONE, -np.inf, self.v.log_weights(np.where(ids == self.NONE, 0, ids)))
+
+    def sample(self, unit: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each draw: pieces from last to first (negative: a character by bytes), how many."""
+        n = len(unit)
+        out = np.zeros((n, self.width), dtype=np.int32)
         count = np.zeros(n, dtype=np.int64)
-        live = np.arange(n)
-        for step in range(width):
-            u, j = unit[live], at[live]
-            r = np.minimum(uniform(key[live] + np.uint64(step) * PRIME).astype(np.float32), np.float32(1.0))
-            k = (self.cumulative[u, j] >= r[:, None]).argmax(axis=1)
-            log_p[live] += self.edge[u, j, k]
-            out[live, step] = self.ids[u, j, k]
-            count[live] += 1
-            at[live] = j - k - 1
-            live = live[at[live] > 0]
+        live, u, at = np.arange(n), unit, self.length[unit]
+        for step in range(self.width):
+            r = uniform32(key + np.uint64(step) * PRIME)
+            k = (self.cumulative[u, at] >= r[:, None]).argmax(axis=1)
+            out[live, step] = self.ids[u, at, k]
+            at = at - k - 1
+            more = at > 0
+            count[live[~more]] = step + 1
+            live, u, at, key = live[more], u[more], at[more], key[more]
             if len(live) == 0:
                 break
-        return out[:, : int(count.max(initial=1))], count, np.minimum(log_p, 0.0)
-
-
-def below(phi: np.ndarray, bound: float, u: np.ndarray) -> np.ndarray:
+        return out[:, : int(count.max(initial=1))], count
+
+    def log_rest(self, unit: np.ndarray) -> np.ndarray:
+        """For each unit the log mass of all segmentations but the best one, summed without subtraction.
+
+        Exact where the best one has most of the mass at each of its places, as in units that it dominates.
+        """
+        rest, suffix = np.zeros(len(unit)), np.ones(len(unit))
+        live, at = np.arange(len(unit)), self.length[unit]
+        back = np.arange(1, self.most + 1)
+        while len(live):
+            u = unit[live]
+            places = at[:, None] - back[None, :]
+            w = np.where(places >= 0, self.total[u[:, None], np.maximum(places, 0)], -np.inf) + self.edges(u, at) - self.total[u, at][:, None]
+            p = np.exp(w)
+            k, rows = p.argmax(axis=1), np.arange(len(live))
+            best = p[rows, k]
+            p[rows, k] = 0.0
+            rest[live] += suffix[live] * p.sum(axis=1)
+            suffix[live] *= best
+            at = at - k - 1
+            live, at = live[at > 0], at[at > 0]
+        with np.errstate(divide="ignore"):
+            return np.log(rest)
+
+
+def below(phi: np.ndarray, bound: float | np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel variables with locations ``phi``, conditioned to lie below ``bound``."""
     with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
         return np.where(np.isneginf(phi), -np.inf, phi - np.logaddexp(phi - bound, np.log(-np.log(u))))
@@ -231,7 +313,7 @@ class Remainder:
     """A unit's segmentations but for some taken ones: their mass, summed without subtraction, and exact samples."""
 
     def __init__(self, lattice: Lattices, row: int, taken: list[list[int]]):
-        self.edge, self.ids, self.total, self.n = lattice.edge[row], lattice.ids[row], lattice.total[row], int(lattice.length[row])
+        self.edge, self.ids, self.total, self.n = lattice.edges(row, slice(None)), lattice.ids[row], lattice.total[row], int(lattice.length[row])
         # the suffixes of taken paths (piece lengths, last first): position and longer suffixes by the next length
         self.nodes: list[tuple[int, dict[int, int]]] = [(self.n, {})]
         for path in taken:
@@ -294,21 +376,25 @@ class Sampler:
         self.group, self.row, self.held = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
         self.lattices: list[Lattices] = []
         self.widths: dict[int, int] = {}
-        self.rests: dict[int, float] = {}
+        #: By unit: log mass of all segmentations, and of all but the best (nan: not computed yet).
+        self.mass, self.rests = np.zeros(0), np.zeros(0)
 
     def remainder(self, unit: int, taken: list[np.ndarray]) -> Remainder:
         sizes = [[1 if i < 0 else len(self.v.text[i]) for i in x.tolist()] for x in taken]
         return Remainder(self.lattices[self.group[unit]], int(self.row[unit]), sizes)
 
-    def log_rest(self, log_p: np.ndarray, units: np.ndarray, pieces_of) -> np.ndarray:
+    def log_rest(self, log_p: np.ndarray, units: np.ndarray) -> np.ndarray:
         """log(1 - p) for each unit's draw; minus infinity if there is no other."""
         rest = -np.expm1(log_p)
         out = np.log(np.maximum(rest, SMALL_MASS))
-        for t in np.flatnonzero(rest < SMALL_MASS).tolist():
-            u = int(units[t])  # a draw with nearly all mass is always the same one
-            if u not in self.rests:
-                self.rests[u] = self.remainder(u, [pieces_of(t)]).log_mass
-            out[t] = self.rests[u]
+        small = np.flatnonzero(rest < SMALL_MASS)
+        if len(small):
+            u = units[small]  # a draw with nearly all mass is always the unit's best one
+            new = np.unique(u[np.isnan(self.rests[u])])
+            for g in np.unique(self.group[new]).tolist():
+                own = new[self.group[new] == g]
+                self.rests[own] = self.lattices[g].log_rest(self.row[own])
+            out[small] = self.rests[u]
         return out
 
     def numbers(self, texts: list[str]) -> list[list[int]]:
@@ -324,38 +410,42 @@ class Sampler:
         group, row = np.zeros(len(names), dtype=np.int64), np.zeros(len(names), dtype=np.int64)
         for w in np.unique(widths).tolist():
             at = np.flatnonzero(widths == w)
-            own = Lattices(self.v, [names[i] for i in at], w)
             g = self.widths.setdefault(w, len(self.lattices))
-            first = 0
             if g == len(self.lattices):
-                self.lattices.append(own)
-            else:
-                first = len(self.lattices[g].length)
-                self.lattices[g].extend(own)
-            group[at], row[at] = g, first + np.arange(len(at))
+                self.lattices.append(Lattices(self.v, w))
+            group[at], row[at] = g, self.lattices[g].add([names[i] for i in at]) + np.arange(len(at))
         self.group, self.row = np.concatenate([self.group, group]), np.concatenate([self.row, row])
+        self.rests = np.concatenate([self.rests, np.full(len(names), np.nan)])
+        self.mass = np.concatenate([self.mass, np.zeros(len(names))])
+        for g, lattice in enumerate(self.lattices):
+            at = old + np.flatnonzero(group == g)
+            self.mass[at] = lattice.total[self.row[at], lattice.length[self.row[at]]]
         return per_doc
 
     def draw(self, unit: np.ndarray, key: np.ndarray, wanted: np.ndarray | None = None):
         """Flat pieces in text order, bounds of each draw's, and log probabilities; only those ``wanted`` are drawn."""
-        parts, count, log_p = [], np.zeros(len(unit), dtype=np.int64), np.zeros(len(unit))
-        at = np.arange(len(unit)) if wanted is None else np.flatnonzero(wanted)
-        group = self.group[unit[at]]
+        parts, count, log_p = [], np.zeros(len(unit), dtype=np.int64), np.full(len(unit), -1.0)
+        drawn = np.arange(len(unit)) if wanted is None else np.flatnonzero(wanted)
+        group = self.group[unit[drawn]].astype(np.int16)  # sorted by radix
         order = np.argsort(group, kind="stable")
         cuts = np.searchsorted(group[order], np.arange(len(self.lattices) + 1))
-        order = at[order]
+        order = drawn[order]
         for g, lattice in enumerate(self.lattices):
             at = order[cuts[g] : cuts[g + 1]]
             if len(at):
-                out, count[at], log_p[at] = lattice.sample(self.row[unit[at]], key[at])
+                out, count[at] = lattice.sample(self.row[unit[at]], key[at])
                 parts.append((at, out))
         bounds = np.concatenate([[0], np.cumsum(count)])
         flat = np.zeros(bounds[-1], dtype=np.int32)
         for at, out in parts:
-            n = count[at]
+            n, to = count[at], bounds[at + 1] - 1
             for step in range(out.shape[1]):
-                has = n > step
-                flat[bounds[at[has] + 1] - 1 - step] = out[has, step]
+                if step:
+                    more = n > step
+                    n, to, out = n[more], to[more], out[more]
+                flat[to - step] = out[:, step]
+        if len(drawn):
+            log_p[drawn] = np.minimum(np.add.reduceat(self.v.log_weights(flat).astype(np.float64), bounds[drawn]) - self.mass[unit[drawn]], 0.0)
         return flat, bounds, log_p
 
     def keys(self, seeds: np.ndarray, unit_no: np.ndarray, salt: int) -> np.ndarray:
@@ -374,16 +464,12 @@ class Sampler:
         bound_draws = [uniform(self.keys(seeds, number, 1000 + j)) for j in range(self.k)]
         again = uniform(self.keys(np.repeat(doc_seed, self.k), np.tile(np.arange(self.k), len(texts)), 2000)).reshape(-1, self.k)
         roots = -np.log(-np.log(uniform(self.keys(doc_seed, np.zeros(len(texts)), 3000))))
-        paths: list[list[Path]] = []
-        for d in range(len(texts)):
-            a, z = starts[d], starts[d + 1]
-            if a == z:
-                paths.append([Path(np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0), float(roots[d]), {})])
-                continue
-            lp = draws[0][2][a:z]
-            rest = self.log_rest(lp, unit[a:z], lambda t, a=a: draws[0][0][draws[0][1][a + t] : draws[0][1][a + t + 1]])
-            phi = np.concatenate([[0.0], np.cumsum(lp)[:-1]]) + rest
-            paths.append([Path(np.zeros(z - a, dtype=np.int64), lp, below(phi, roots[d], bound_draws[0][a:z]), float(roots[d]), {})])
+        lp = draws[0][2]
+        before = np.cumsum(lp) - lp
+        before -= np.repeat(before[starts[:-1][sizes > 0]], sizes[sizes > 0])
+        bounds = below(before + self.log_rest(lp, unit), np.repeat(roots, sizes), bound_draws[0])
+        none = np.zeros(len(unit), dtype=np.int64)
+        paths = [[Path(none[a:z], lp[a:z], bounds[a:z], float(r), {})] for a, z, r in zip(starts, starts[1:], roots, strict=False)]
         for j in range(1, self.k):
             nodes, found, pending = {}, {}, [d for d, own in enumerate(paths) if len(own) == j]
             while pending:
@@ -403,17 +489,22 @@ class Sampler:
             for d in found:
                 wanted[starts[d] + nodes[d][2] : starts[d + 1]] = True
             draws.append(self.draw(unit, self.keys(seeds, number, j), wanted))
+            rests, made = self.log_rest(draws[j][2], unit), []
             for d, (bound, i, t) in nodes.items():
                 p, a, z = paths[d][i], starts[d], starts[d + 1]
                 ids, log_p = found[d]
                 choice, lp = p.choice.copy(), p.log_p.copy()
                 choice[t:], lp[t:] = j, draws[j][2][a + t : z]
                 lp[t] = log_p
-                head = np.concatenate([[0.0], np.cumsum(lp)[:-1]])
-                drawn = draws[j]
-                rest = np.full(z - a, -np.inf)
-                rest[t + 1 :] = self.log_rest(lp[t + 1 :], unit[a + t + 1 : z], lambda n, a=a + t + 1, drawn=drawn: drawn[0][drawn[1][a + n] : drawn[1][a + n + 1]])
-                bounds = below(head + rest, bound, bound_draws[j][a:z])
+                head = np.cumsum(lp)
+                made.append((d, p, t, ids, log_p, bound, choice, lp, head[t + 1 :] - lp[t + 1 :] + rests[a + t + 1 : z]))
+            phi = np.concatenate([x[-1] for x in made]) if made else np.zeros(0)
+            tails = np.array([len(x[-1]) for x in made], dtype=np.int64)
+            after = np.concatenate([np.arange(starts[x[0] + 1] - len(x[-1]), starts[x[0] + 1]) for x in made]) if made else np.zeros(0, dtype=np.int64)
+            tail_bounds = np.split(below(phi, np.repeat([x[5] for x in made], tails), bound_draws[j][after]), np.cumsum(tails)[:-1]) if made else []
+            for (d, p, t, ids, log_p, bound, choice, lp, _), tail in zip(made, tail_bounds, strict=True):
+                a = starts[d]
+                bounds = np.concatenate([np.full(t + 1, -np.inf), tail])
                 alternatives = {k: v for k, v in p.alternatives.items() if k < t} | {t: ids}
                 paths[d].append(Path(choice, lp, bounds, bound, alternatives))
                 shut = p.shut.setdefault(t, [])
@@ -489,6 +580,9 @@ class Sampler:
 _vocabularies: dict[tuple[str, float], Vocabulary] = {}
 
 
+_samplers: dict[tuple, Sampler] = {}
+
+
 def vocabulary(path: str, alpha: float = ALPHA) -> Vocabulary:
     if (path, alpha) not in _vocabularies:
         _vocabularies[path, alpha] = Vocabulary(path, alpha)
@@ -513,14 +607,14 @@ def sample_segmentations(docs: DataFrame, path: str, samples: int = SAMPLES, alp
 
     def run(batches):
         v = vocabulary(path, alpha)
-        sampler = Sampler(v, samples, seed)
+        sampler = _samplers.setdefault((path, alpha, samples, seed), Sampler(v, samples, seed))  # later tasks know its lattices
         for b in batches:
             texts, names = [t or "" for t in b.column(1).to_pylist()], b.column(0).to_pylist()
             for i, j in slices(texts):
                 rows = []
                 for doc_id, text, found in zip(names[i:j], texts[i:j], sampler(texts[i:j], [str(x) for x in names[i:j]]), strict=True):
                     for n, (ids, log_p, inclusion) in enumerate(found):
-                        row = (doc_id, n, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), log_p, inclusion, v.decode(ids.tolist()) == text)
+                        row = (doc_id, n, len(ids), zlib.crc32(ids.astype("<u4").tobytes()), log_p, inclusion, v.decode(ids) == text)
                         rows.append((*row, ids) if with_ids else row)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 

@@ -162,3 +162,16 @@ def test_cache_limit_changes_nothing(monkeypatch, vocabulary):
     one = run()
     monkeypatch.setattr(pieces, "CACHE_CHARS", 50)
     assert run() == one
+
+
+def test_no_draw_falls_after_the_last_piece(vocabulary):
+    """Choices are 1 from the last piece on, also where single precision sums to less."""
+    words = [f"▁{a}{b}{c}ing" for a in "abcdefgh" for b in "aeiourt" for c in "lmnprst"] + ["▁字中x", "▁ЖЖa"]
+    for width in {len(w) for w in words}:
+        own = [w for w in words if len(w) == width]
+        lattice = pieces.Lattices(vocabulary, width)
+        lattice.add(own)
+        valid = lattice.ids[: len(own), 1:] != lattice.NONE
+        last = lattice.most - 1 - valid[:, :, ::-1].argmax(axis=2)
+        at = np.take_along_axis(lattice.cumulative[: len(own), 1:], last[:, :, None], axis=2)
+        assert (at == 1).all()
