@@ -2,11 +2,13 @@
 
 The plan is made on the length histogram, which has at most ``capacity`` rows
 however large the corpus is.  A configuration linear program (columns: multisets of
-lengths that fit) is solved by multiplicative weights: each round prices the best
-configuration with an unbounded-knapsack dynamic program, then raises the weights of
-the lengths that it does not serve.  The fractional solution is rounded down and what
-is left is packed best-fit decreasing, still on the histogram.  The result is a table
-of intervals (length, rank range -> sequence range, offset), so that every piece finds
+lengths that fit; cover every length's demand with the fewest sequences) is solved by multiplicative
+weights: each round prices configurations with an unbounded-knapsack dynamic program, which gives for every
+length the best configuration that holds it; those that are nearly as good as the best of all are used
+together, and lengths lose weight as they are served.  The best price bounds the optimum from below, and
+the program ends once its cover is near that bound.  The solution is rounded as far as demand remains,
+what is left is a program of its own, and the last few lengths are packed best-fit decreasing.  The result is a
+table of intervals (length, rank range -> sequence range, offset), so that every piece finds
 its place from its rank among the pieces of equal length.
 
 Defined results: null and empty texts are one piece holding only the end id; repeated rows
@@ -31,8 +33,12 @@ from .shared import arrow_schema, small_batches, staged
 CAPACITY = 2048
 #: Chunks kept per worker; the cache is emptied beyond it, so memory stays bounded.
 CACHE_CHUNKS = 800_000
-#: Pieces that one rank-numbering group holds on average at most.
-RANK_GROUP = 2_000
+#: Pieces that one rank-numbering group holds, about, and groups besides one for each length at most.
+RANK_GROUP, RANK_GROUPS = 256, 100_000
+#: Rounds of a program at most, its distance from the bound, and how far from the best price a configuration may be.
+ROUNDS, NEAR, CHOICE = 100, 0.02, 0.002
+#: Programs in a row at most, and the fill that configurations need in order to be taken.
+PROGRAMS, FULL = 8, 0.9985
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -153,64 +159,71 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, ddl)
 
 
-def price(weights: np.ndarray, capacity: int) -> dict[int, int]:
-    """The configuration of greatest weight: unbounded knapsack over lengths 1..capacity."""
-    best = np.zeros(capacity + 1)
-    take = np.zeros(capacity + 1, dtype=np.int64)
-    sizes = np.flatnonzero(weights)
+def knapsack(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unbounded knapsack over lengths 1..capacity: for every capacity the best value, the least capacity that reaches
+    it (0: none), and the length that is added there last."""
+    best, reach, last = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64), np.zeros(capacity + 1, dtype=np.int64)
+    sizes = np.flatnonzero(prices > 0)
     if len(sizes) == 0:
-        return {}
+        return best, reach, last
+    own, fits = prices[sizes], np.searchsorted(sizes, np.arange(capacity + 1), side="right")
     for c in range(int(sizes[0]), capacity + 1):
-        fit = sizes[: np.searchsorted(sizes, c, side="right")]
-        value = best[c - fit] + weights[fit]
-        k = int(value.argmax())
+        value = best[c - sizes[: fits[c]]]
+        value += own[: fits[c]]
+        k = value.argmax()
         if value[k] > best[c - 1]:
-            best[c], take[c] = value[k], fit[k]
+            best[c], reach[c], last[c] = value[k], c, sizes[k]
         else:
-            best[c] = best[c - 1]
-    out: dict[int, int] = defaultdict(int)
-    c = capacity
-    while c > 0:
-        if take[c]:
-            out[int(take[c])] += 1
-            c -= int(take[c])
-        else:
-            c -= 1
-    return dict(out)
+            best[c], reach[c] = best[c - 1], reach[c - 1]
+    return best, reach, last
+
 
+def configurations(sizes: np.ndarray, capacity: int, reach: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """For each length the best configuration that holds it, as a row of lengths, longest first, filled up with 0."""
+    out, room = [sizes], capacity - sizes
+    while (reach[room] > 0).any():
+        out.append(last[reach[room]])
+        room = reach[room] - out[-1]
+    return np.sort(np.stack(out, axis=1), axis=1)[:, ::-1]
 
-def configuration_program(counts: np.ndarray, capacity: int, rounds: int = 400) -> list[tuple[dict[int, int], float]]:
-    """A fractional cover of ``counts`` by configurations, by multiplicative weights.
 
-    Maximises the least served share of demand per sequence: weights are put on
-    lengths, each round adds the best-priced configuration, and lengths that it serves
-    lose weight in proportion.  Scaled so that every length is fully served.
+def configuration_program(counts: np.ndarray, capacity: int, rounds: int = ROUNDS) -> tuple[dict[tuple[int, ...], float], float]:
+    """A fractional cover of ``counts`` (configuration -> sequences) by multiplicative weights, and a bound.
+
+    Weights start as volumes.  Each round's configurations are used in proportion to the weights of the lengths that they
+    were priced for, as often as serves one length in full; the cover is scaled in the end so that the least served
+    length is.  By duality no cover has fewer sequences than the bound.
     """
     sizes = np.flatnonzero(counts)
     demand = counts[sizes].astype(float)
-    index = {int(s): i for i, s in enumerate(sizes)}
-    log_w = np.zeros(len(sizes))
-    served = np.zeros(len(sizes))
-    used: dict[tuple, float] = defaultdict(float)
+    index = np.full(capacity + 1, len(sizes))
+    index[sizes] = np.arange(len(sizes))
+    w = sizes * demand / (sizes * demand).sum()
+    bound, total, served = float((sizes * demand).sum() / capacity), 0.0, np.zeros(len(sizes))
+    used: dict[tuple[int, ...], float] = defaultdict(float)
     for _ in range(rounds):
-        w = np.exp(log_w - log_w.max())
         prices = np.zeros(capacity + 1)
         prices[sizes] = w / demand
-        conf = price(prices, capacity)
-        a = np.zeros(len(sizes))
-        for s, m in conf.items():
-            a[index[s]] = m
-        # as many sequences as fill an equal share of the tightest demand
-        step = (demand[a > 0] / a[a > 0]).min() / 4
-        gain = step * a / demand
-        served += gain
-        log_w -= np.minimum(gain * 4, 50)
-        used[tuple(sorted(conf.items()))] += step
-        if served.min() >= 1:
+        best, reach, last = knapsack(prices, capacity)
+        bound = max(bound, 1 / best[capacity])
+        good = np.flatnonzero(prices[sizes] + best[capacity - sizes] >= (1 - CHOICE) * best[capacity])
+        rows, share = configurations(sizes[good], capacity, reach, last), w[good] / w[good].sum()
+        gain = np.bincount(index[rows].ravel(), np.repeat(share, rows.shape[1]), len(sizes) + 1)[:-1] / demand
+        step = 1 / gain.max()
+        for row, x in zip(rows.tolist(), (share * step).tolist(), strict=True):
+            used[tuple(row)] += x
+        served += step * gain
+        total += step
+        w = w * np.exp(-step * gain)
+        w /= w.sum()
+        if served.min() > 0 and total / served.min() <= (1 + NEAR) * bound:
             break
-    # lengths not served yet keep their shortfall for the residual packing
-    over = max(1.0, served.min())
-    return [(dict(k), v / over) for k, v in used.items()]
+    # a length that no round has served (rare) is left to the next program
+    scale = served.min() if served.min() > 0 else float(np.median(served))
+    cover: dict[tuple[int, ...], float] = defaultdict(float)
+    for row, x in used.items():  # rows of several rounds are filled up to different lengths
+        cover[tuple(s for s in row if s)] += x / scale
+    return dict(cover), bound
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -241,24 +254,33 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], i
     return [x for gs in groups.values() for x in gs]
 
 
-def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 400) -> list[tuple[tuple[int, ...], int]]:
-    """Groups of equal sequences covering the histogram: rounded program, else best fit alone if that is fewer."""
-    counts = np.zeros(capacity + 1, dtype=np.int64)
+def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[tuple[int, ...], int]], int]:
+    """Groups of equal sequences (lengths, how many) that hold the histogram, and how many groups the programs gave.
+
+    A program's configurations are taken from the most used on: as often as the program says, rounded, at least once,
+    as far as demand remains.  What is left goes through the next program until that is little.
+    """
+    rest = np.zeros(capacity + 1, dtype=np.int64)
     for s, n in histogram.items():
-        counts[s] = n
-    if not counts.any():
-        return []
-    plain = best_fit(counts, capacity)
-    rest = counts.copy()
-    rounded: list[tuple[tuple[int, ...], int]] = []
-    for conf, x in sorted(configuration_program(counts, capacity, rounds), key=lambda p: -p[1]):
-        k = min(int(x), *(int(rest[s]) // m for s, m in conf.items()))
-        if k:
-            rounded.append((tuple(s for s, m in sorted(conf.items(), reverse=True) for _ in range(m)), k))
-            for s, m in conf.items():
-                rest[s] -= m * k
-    rounded += best_fit(rest, capacity)
-    return min((rounded, plain), key=lambda p: sum(k for _, k in p))
+        rest[s] = n
+    places, taken = np.arange(capacity + 1), 0
+    volume = int((places * rest).sum())
+    groups: list[tuple[tuple[int, ...], int]] = []
+    for _ in range(PROGRAMS):
+        if not rest.any():
+            break
+        took = 0
+        for conf, x in sorted(configuration_program(rest, capacity, rounds)[0].items(), key=lambda p: (-p[1], p[0])):
+            k = min(max(round(x), 1), *(int(rest[s]) // conf.count(s) for s in set(conf)))
+            if k and sum(conf) >= FULL * capacity:
+                groups.append((conf, k))
+                took += k
+                for s in conf:
+                    rest[s] -= k
+        taken += took
+        if took < 0.01 * taken or (places * rest).sum() < 0.02 * volume:
+            break
+    return groups + best_fit(rest, capacity), len(groups)
 
 
 def intervals(groups: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -276,17 +298,18 @@ def intervals(groups: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.n
     return {s: tuple(np.array(c, dtype=np.int64) for c in zip(*r, strict=True)) for s, r in runs.items()}
 
 
-def pack(parts: DataFrame, capacity: int = CAPACITY, rounds: int = 400) -> DataFrame:
+def pack(parts: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
     """Give every row of ``parts`` (staged; doc_id, piece, start, length, ...) its sequence_id and offset.
 
     The histogram (at most ``capacity`` rows) and the runs made from it are all that the
-    driver sees; runs are few per length and are shipped with the closure.  Ranks are
-    numbered inside salted groups of a length, so a very common length is no hot key.
+    driver sees; runs are at most those of the configurations and are broadcast.  Ranks are
+    numbered inside salted groups of a length, more for a more common one, so that no length is a hot key.
     """
-    hist = parts.groupBy("length").count().collect()
-    runs = intervals(plan_sequences({int(r["length"]): r["count"] for r in hist}, capacity, rounds))
-    salts = max(1, -(-max((r["count"] for r in hist), default=1) // RANK_GROUP))
-    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
+    hist = {int(r["length"]): r["count"] for r in parts.groupBy("length").count().collect()}
+    runs = parts.sparkSession.sparkContext.broadcast(intervals(plan_sequences(hist, capacity, rounds)[0]))
+    group = max(RANK_GROUP, sum(hist.values()) // RANK_GROUPS)
+    salts = F.array(*[F.lit(max(1, -(-hist.get(s, 0) // group))) for s in range(capacity + 1)])
+    salted = parts.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.get(salts, F.col("length").cast("int"))))
     sizes = salted.groupBy("length", "_salt").count()
     before = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "_salt", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
@@ -307,7 +330,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, rounds: int = 400) -> DataF
             seq, off = np.zeros(len(length), dtype=np.int64), np.zeros(len(length), dtype=np.int64)
             for s in np.unique(length):
                 at = np.flatnonzero(length == s)
-                r0, s0, o = runs[int(s)]
+                r0, s0, o = runs.value[int(s)]
                 k = np.searchsorted(r0, rank[at], side="right") - 1
                 seq[at] = s0[k] + rank[at] - r0[k]
                 off[at] = o[k]

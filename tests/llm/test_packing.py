@@ -102,7 +102,7 @@ def test_plans_against_exact_minimum():
     for seed in range(12):
         items = np.random.default_rng(seed).integers(1, 10, 8).tolist()
         hist = {s: items.count(s) for s in set(items)}
-        groups = packing.plan_sequences(hist, 10)
+        groups, _ = packing.plan_sequences(hist, 10)
         assert sorted(s for g, k in groups for s in g * k) == sorted(items) and all(sum(g) <= 10 for g, _ in groups)
         assert sum(k for _, k in groups) <= least(items, 10) + 1
 
@@ -110,13 +110,48 @@ def test_plans_against_exact_minimum():
 def test_configuration_program_helps():
     """Where best fit alone wastes, the rounded program comes near the bound."""
     hist = {1024 - 340: 3000, 341: 3000, 1023: 3000}
-    groups = packing.plan_sequences(hist, 2048)
+    groups, _ = packing.plan_sequences(hist, 2048)
     total = sum(s * n for s, n in hist.items())
     assert sum(k for _, k in groups) <= 1.03 * total / 2048
 
 
 def test_knapsack_prices():
+    """For every length the best configuration that holds it, against enumeration."""
     w = np.zeros(11)
     w[[3, 5, 7]] = [2.0, 4.0, 5.0]
-    conf = packing.price(w, 10)
-    assert sum(w[s] * m for s, m in conf.items()) == 8.0 and sum(s * m for s, m in conf.items()) <= 10
+    best, reach, last = packing.knapsack(w, 10)
+    value = lambda c: sum(w[s] for s in c if s)
+    every = [(3,) * a + (5,) * b + (7,) * c for a in range(4) for b in range(3) for c in range(2) if 3 * a + 5 * b + 7 * c <= 10]
+    assert best[10] == max(map(value, every)) == 8.0
+    for s, row in zip((3, 5, 7), packing.configurations(np.array([3, 5, 7]), 10, reach, last), strict=True):
+        assert s in row and sum(row) <= 10 and value(row) == max(value(c) for c in every if s in c)
+
+
+def histogram_of(spark, d):
+    return {r["length"]: r["count"] for r in packing.pieces(spark.read.parquet(f"/root/testdata/{d}/documents.parquet"), PATH).groupBy("length").count().collect()}
+
+
+@pytest.mark.parametrize("times", [1, 100])
+def test_sequences_come_from_configurations(spark, times):
+    """The programs give most sequences, and there are hardly more than the tokens need."""
+    hist = {s: times * n for s, n in histogram_of(spark, "sf0.01").items()}
+    groups, n = packing.plan_sequences(hist)
+    made, all_ = sum(k for _, k in groups[:n]), sum(k for _, k in groups)
+    assert made >= 0.8 * all_
+    assert all_ <= 1.01 * -(-sum(s * k for s, k in hist.items()) // 2048)
+    left = dict(hist)
+    for g, k in groups:
+        for s in g:
+            left[s] -= k
+    assert not any(left.values())
+
+
+def test_program_is_a_cover_near_its_bound():
+    """Where volume is no bound (every sequence wastes a third), duality gives one, and the program comes near it."""
+    counts = np.zeros(301, dtype=np.int64)
+    counts[[101, 99, 200]] = [900, 40, 300]
+    cover, bound = packing.configuration_program(counts, 300, rounds=400)
+    for s in np.flatnonzero(counts):
+        assert sum(x * c.count(s) for c, x in cover.items()) >= counts[s] - 1e-6
+    assert all(sum(c) <= 300 for c in cover) and bound - 1e-6 <= sum(cover.values()) <= 1.03 * bound
+    assert bound > 1.05 * (np.arange(301) * counts).sum() / 300
