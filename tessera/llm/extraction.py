@@ -2,19 +2,22 @@
 
 Every text node of a page belongs to a root-to-leaf tag path (tag names with their
 classes).  Text length, punctuation and link text are aggregated per path; the ratio of
-text to nodes and of punctuation to nodes are smoothed along the page, fused by product,
-and paths above the threshold give the content nodes.  The content region is the
-deepest container that holds nearly all of their text; paths through navigation, forms,
-adverts, notices, comments and the like never take part.
+text to nodes and of punctuation to nodes are smoothed along the page and fused by product.  Paths through
+elements that are named as what surrounds an article (navigation, adverts, comments ...) weigh less, hidden ones
+nothing.  Paths whose fused ratio reaches the threshold are content.  The region is the deepest element that holds
+nearly all of their text, with headings around it.  Of the region, content paths are emitted, and other paths (a
+heading, a short cell) if nothing speaks against them: less weight than the region's, or mostly links.
 
 Defined results: null, empty or text-less pages give an empty text; a page is parsed to its
-end however long or broken it is; repeated rows are extracted each; other columns are ignored.
+end however long, deep or broken it is, in time that grows with its length; a quote that is never closed, or is not followed
+by the end of an attribute, is a character like others; repeated rows are extracted each; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -23,25 +26,30 @@ from pyspark.sql import functions as F
 
 from .shared import arrow_schema, small_batches
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-LABELS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s/=]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"(?=[\s/>])|=\s*'[^']*'(?=[\s/>])|[^>])*)(?:>|\Z)""", re.S
+)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
 RAW = {"script", "style", "textarea", "title", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li "
     "main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
-#: Elements that are never article text.
-NEVER = set("head script style noscript template nav footer aside form button select option textarea input iframe object svg canvas math audio video dialog menu title".split())
-CONTAINER = {"html", "body", "div", "section", "article", "main", "center", "table", "tbody", "tr", "td", "span", "font"}
-#: Words in class, id or role that mark what surrounds an article.
-AROUND = set(
-    "ad ads advert adverts advertisement advertising sponsor sponsored sponsor promo promoted promotion banner cookie cookies consent gdpr notice notices alert menu menus nav navbar navigation "
-    "breadcrumb breadcrumbs sidebar sidebars aside footer foot masthead topbar toolbar comment comments disqus reply replies respond discussion share sharing social related recommended recommendations "
-    "subscribe subscription newsletter signup login popup modal overlay widget widgets pagination pager search contentinfo complementary skip copyright legal disclaimer outbrain taboola tags trending".split()
-)
-ARTICLE = {"article", "post", "entry", "story", "content", "main", "articlebody", "storybody", "postbody"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+#: Elements that may hold a whole article.
+CONTAINER = {"html", "body", "div", "section", "article", "main", "center", "form", "fieldset", "details", "table", "tbody", "tr", "td", "span", "font"}
+#: Elements without text of the page: scripts, controls, embedded objects.
+NEVER = set("head script style noscript template button select option textarea input iframe object svg canvas audio video title".split())
+#: Weights of paths through elements that usually surround an article, and of elements named so in class, id or role.
+SURROUND = {"nav": 0.02, "aside": 0.02, "footer": 0.02, "dialog": 0.02, "menu": 0.02, "form": 0.1, "header": 0.1}
+NAMED = dict.fromkeys(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr menu menus nav navbar navigation breadcrumb breadcrumbs "
+    "sidebar sidebars footer masthead topbar toolbar comment comments disqus replies respond share sharing related recommended recommendations subscribe subscription newsletter signup login "
+    "popup modal overlay widget widgets pagination pager contentinfo complementary skip outbrain taboola".split(), 0.02
+) | dict.fromkeys("notice notices alert reply discussion social search legal copyright disclaimer tags trending aside foot head header promoted".split(), 0.5)
+#: Share of the content that the region holds at least.
+HOLDS = 0.9
 #: Start tags that end an open element of these kinds.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "li", "option", "optgroup", "html", "head", "body", "dd", "dt", "legend", "summary"}
@@ -49,35 +57,63 @@ PUNCTUATION = re.compile(r"[.,;:!?。，！？、]")
 
 
 class Element:
-    __slots__ = ("tag", "path", "out", "inside", "parent", "mass", "marked", "link", "depth")
+    """An open element: its path's number, weight, and place in the order of start tags."""
+
+    __slots__ = ("tag", "path", "weight", "never", "inside", "parent", "link", "heading", "number")
 
-    def __init__(self, tag, path, out, inside, parent, marked, link):
-        self.tag, self.path, self.out, self.inside, self.parent, self.marked, self.link = tag, path, out, inside, parent, marked, link
-        self.mass = 0.0
-        self.depth = parent.depth + 1 if parent else 0
+    def __init__(self, tag, path, weight, never, inside, parent, link, heading, number):
+        self.tag, self.path, self.weight, self.never, self.inside = tag, path, weight, never, inside
+        self.parent, self.link, self.heading, self.number = parent, link, heading, number
 
 
-def excluded(tag: str, words: set[str], attrs: str, inside: bool) -> bool:
-    if tag in NEVER:
-        return True
+def describe(attrs: str) -> tuple[set[str], bool]:
+    """Words of class, id and role; whether the element is hidden."""
+    words: set[str] = set()
+    hidden = False
+    for name, *values in ATTRIBUTE.findall(attrs):
+        name, value = name.lower(), "".join(values).lower()
+        if name in ("class", "id", "role"):
+            words.update(w for w in re.split(r"[^a-z0-9]+", value) if w)
+        elif name == "hidden":
+            hidden |= value != "until-found"
+        elif name == "aria-hidden":
+            hidden |= value == "true"
+        elif name == "style":
+            hidden |= re.search(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", value) is not None
+    return words, hidden
+
+
+def weight_of(tag: str, words: set[str], inside: bool) -> float:
+    """What an element makes of the weight of its paths; an article's own header weighs in full."""
     if tag in ("html", "body", "main", "article"):
-        return False
-    if tag == "header" or (words & {"header", "head"} and tag not in ("h1", "h2", "h3", "h4", "h5", "h6")):
-        if not inside:
-            return True
-    return bool(words & AROUND) or bool(HIDDEN.search(attrs))
+        return 1.0
+    own = 1.0 if tag == "header" and inside else SURROUND.get(tag, 1.0)
+    if tag in HEADINGS or inside:
+        words = words - {"head", "header"}
+    return min([own, *(NAMED[w] for w in words if w in NAMED)])
 
 
-def text_nodes(page: str) -> list[tuple[Element, str, int]]:
-    """(element, decoded text, block number) of every text outside scripts and the like, in page order."""
-    stack = [Element("#root", "", False, False, None, False, False)]
-    nodes: list[tuple[Element, str, int]] = []
+def text_nodes(page: str) -> tuple[list[Element], list[tuple[Element, str, int]]]:
+    """All elements in order of their start tags, and (element, decoded text, block number) of every text that isn't in
+    a script, control or the like, in page order."""
+    root = Element("#root", 0, 1.0, False, False, None, False, False, 0)
+    stack, elements, nodes = [root], [root], []
+    paths: dict[tuple[int, str], int] = {}
+    open_: Counter[str] = Counter()
     block, at, n = 0, 0, len(page)
 
     def emit(s: str) -> None:
-        if s:
+        if s and not stack[-1].never:
             nodes.append((stack[-1], html_lib.unescape(s) if "&" in s else s, block))
 
+    def close(k: int) -> None:
+        for e in stack[k:]:
+            open_[e.tag] -= 1
+        del stack[k:]
+
+    def is_open(tags: set[str]) -> bool:
+        return any(open_[t] > 0 for t in tags)
+
     search = TOKEN.search
     while at < n:
         m = search(page, at)
@@ -95,47 +131,49 @@ def text_nodes(page: str) -> list[tuple[Element, str, int]]:
         if tag in BLOCK:
             block += 1
         elif tag == "br":
-            nodes.append((stack[-1], " ", block))
+            emit(" ")
         if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_[tag] > 0 else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in ("article", "main", "table", "body") and tag not in BLOCK:
                     break
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-            if tag not in ("textarea",) and end is None:
-                at = n
-            elif end is not None:
+            if end is not None:
                 at = end.end()
+            elif tag != "textarea":
+                at = n
             continue
         if tag in VOID or attrs.endswith("/") and tag in ("svg", "path"):
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if open_["p"] > 0 else ():
                 if stack[k].tag == "p":
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in BLOCK:
                     break
-        elif tag in ENDS:
+        elif tag in ENDS and is_open(ENDS[tag]):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in ENDS[tag]:
-                    del stack[k:]
+                    close(k)
                     if tag != "tr" or stack[-1].tag != "tr":
                         break
                 elif stack[k].tag in ("ul", "ol", "dl", "table", "select", "menu"):
                     break
         up = stack[-1]
-        words: set[str] = set()
-        if "=" in attrs:
-            for v in LABELS.findall(attrs):
-                words.update(w for w in re.split(r"[^a-z0-9]+", "".join(v).lower()) if w)
+        words, hidden = describe(attrs) if attrs and not attrs.isspace() else (set(), False)
         inside = up.inside or tag in ("article", "main")
-        stack.append(Element(tag, f"{up.path}/{tag}" + ("." + ".".join(sorted(words)) if words else ""), up.out or excluded(tag, words, attrs, inside), inside, up, tag in ("article", "main") or bool(words & ARTICLE), up.link or tag == "a"))
-    return nodes
+        path = paths.setdefault((up.path, tag + "." + ".".join(sorted(words))), len(paths) + 1)
+        weight = up.weight * weight_of(tag, words, inside)
+        e = Element(tag, path, weight, up.never or hidden or tag in NEVER, inside, up, up.link or tag == "a", up.heading or tag in HEADINGS, len(elements))
+        elements.append(e)
+        stack.append(e)
+        open_[tag] += 1
+    return elements, nodes
 
 
 def smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -143,14 +181,9 @@ def smooth(x: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(np.pad(x, 2, mode="edge"), k / k.sum(), mode="valid") if len(x) else x
 
 
-def extract(page: str | None) -> str:
-    """The main text of one page."""
-    nodes = [x for x in text_nodes(page or "") if not x[0].out]
-    full = [(e, " ".join(s.split())) for e, s, _ in nodes]
-    full = [(e, s) for e, s in full if s]
-    if not full:
-        return ""
-    paths: dict[str, list[float]] = {}
+def content_paths(full: list[tuple[Element, str]]) -> tuple[set[int], set[int]]:
+    """Paths of (element, text without outer white space) whose fused ratio reaches the threshold, and those of mostly links."""
+    paths: dict[int, list[float]] = {}
     for e, s in full:
         x = paths.setdefault(e.path, [0.0, 0.0, 0.0, 0.0])
         x[0] += 1
@@ -159,47 +192,57 @@ def extract(page: str | None) -> str:
         x[3] += len(s) * e.link
     text_ratio = smooth(np.array([paths[e.path][1] / paths[e.path][0] for e, _ in full]))
     mark_ratio = smooth(np.array([(1 + paths[e.path][2]) / paths[e.path][0] for e, _ in full]))
-    fused = text_ratio * mark_ratio * np.array([1 - paths[e.path][3] / paths[e.path][1] for e, _ in full])
+    fused = text_ratio * mark_ratio * np.array([(1 - paths[e.path][3] / paths[e.path][1]) * e.weight for e, _ in full])
     threshold = min(fused.std(), fused.mean())
-    by_path: dict[str, list[float]] = {}
-    for (e, _), f in zip(full, fused, strict=True):
-        by_path.setdefault(e.path, []).append(f)
-    content = {p for p, f in by_path.items() if max(f) >= threshold and max(f) > 0} or set(by_path)
-    # text mass of content paths, summed up the tree
+    best: dict[int, float] = {}
+    for (e, _), f in zip(full, fused.tolist(), strict=True):
+        best[e.path] = max(f, best.get(e.path, 0.0))
+    passed = {p for p, f in best.items() if f >= threshold and f > 0}
+    return passed or set(best), {p for p, x in paths.items() if x[0] >= 3 and x[3] > 0.5 * x[1]}
+
+
+def region_of(elements: list[Element], full: list[tuple[Element, str]], content: set[int]) -> Element:
+    """The deepest element with ``HOLDS`` of the content's text, then its ancestors as long as these add only headings,
+    content, and what weighs less."""
+    mass, other = np.zeros(len(elements)), np.zeros(len(elements))
     for e, s in full:
-        if e.path in content:
-            up = e
-            while up is not None:
-                up.mass += len(s)
-                up = up.parent
-    chains: dict[int, Element] = {}
-    for e, _ in full:
-        up = e
-        while up is not None and id(up) not in chains:
-            chains[id(up)] = up
-            up = up.parent
-    children: dict[int, list[Element]] = {}
-    for e in chains.values():
-        if e.parent is not None:
-            children.setdefault(id(e.parent), []).append(e)
-    region = next(e for e in chains.values() if e.parent is None)
-    while not region.marked:
-        below = max(children.get(id(region), []), key=lambda e: e.mass, default=None)
-        if below is None or below.tag not in CONTAINER or below.mass < 0.8 * region.mass:
-            break
-        region = below
-    in_region: dict[int, bool] = {}
+        mass[e.number] += len(s) * (e.path in content)
+        other[e.number] += len(s) * (e.path not in content and not e.heading)
+    heaviest = [0] * len(elements)  # child with the most content
+    whole = mass.copy()
+    for e in reversed(elements[1:]):
+        whole[e.parent.number] += whole[e.number]
+        k = heaviest[e.parent.number]
+        if k == 0 or whole[e.number] >= whole[k]:
+            heaviest[e.parent.number] = e.number
+    region = elements[0]
+    while (k := heaviest[region.number]) and whole[k] >= HOLDS * whole[0] and elements[k].tag in CONTAINER:
+        region = elements[k]
+    # text besides content and headings that weighs as much as the region, by element and all below it
+    for e, s in full:
+        if e.weight < region.weight:
+            other[e.number] = 0.0
+    for e in reversed(elements[1:]):
+        other[e.parent.number] += other[e.number]
+    while region.parent is not None and region.parent.weight == region.weight and other[region.parent.number] == other[region.number]:
+        region = region.parent
+    return region
 
-    def held(e: Element) -> bool:
-        k = id(e)
-        if k not in in_region:
-            in_region[k] = e is region or (e.parent is not None and held(e.parent))
-        return in_region[k]
 
-    linked = {p for p, x in paths.items() if p not in content and x[0] >= 3 and x[3] > 0.5 * x[1]}
+def extract(page: str | None) -> str:
+    """The main text of one page."""
+    elements, nodes = text_nodes(page or "")
+    full = [(e, x) for e, s, _ in nodes if (x := " ".join(s.split()))]
+    if not full:
+        return ""
+    content, linked = content_paths(full)
+    region = region_of(elements, full, content)
+    held = [False] * len(elements)
+    for e in elements:
+        held[e.number] = e is region or (e.parent is not None and held[e.parent.number])
     blocks: dict[int, list[str]] = {}
     for e, s, b in nodes:
-        if held(e) and e.path not in linked:
+        if held[e.number] and (e.path in content or (e.weight >= region.weight and e.path not in linked)):
             blocks.setdefault(b, []).append(s)
     lines = (" ".join("".join(parts).split()) for _, parts in sorted(blocks.items()))
     return "\n\n".join(x for x in lines if x)

@@ -2,6 +2,7 @@
 
 import html as lib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -42,6 +43,58 @@ def test_any_markup_ends(page):
     extraction.extract(page)
 
 
+LEAD = "<nav><a href=1>One</a> <a href=2>Two</a></nav><div class='ad'>Buy now, cheap!</div>"
+
+
+def article(*parts):
+    return "\n\n".join(parts)
+
+
+def test_the_threshold_decides(monkeypatch):
+    """With every path taken as content, what surrounds the article is emitted."""
+    found = extraction.extract(PAGE)
+    monkeypatch.setattr(extraction, "content_paths", lambda full: ({e.path for e, _ in full}, set()))
+    assert len(extraction.extract(PAGE)) > len(found) and "Buy now" in extraction.extract(PAGE)
+
+
+def test_threshold_tells_plain_containers_apart():
+    """Nothing is named here: lengths and punctuation of the paths alone decide."""
+    short = "".join(f"<span><i>{w}</i></span> " for w in "home news sport weather contact about imprint".split())
+    page = f"<body><div><div>{short}</div></div><div><div><h2>Title</h2><p>{BODY}</p><p>{BODY} And more.</p><p>Yes.</p></div></div><div><div>{short}</div></div></body>"
+    assert extraction.extract(page) == article("Title", BODY, f"{BODY} And more.", "Yes.")
+
+
+def test_names_inside_an_article_do_not_remove_it():
+    page = f"<body>{LEAD}<article><h1>Title</h1><p title='the hidden truth'>{BODY}</p><section id='discussion'><p>{BODY}</p></section><p class='legal'>{BODY}</p><p>so <math><mi>x</mi></math> is</p></article></body>"
+    assert extraction.extract(page) == article("Title", BODY, BODY, BODY, "so x is")
+    hidden = f"<article><p>{BODY}</p><p hidden>a</p><p style='color:red; display:none'>b</p><p aria-hidden=true>c</p><p data-hidden=1>d</p></article>"
+    assert extraction.extract(hidden) == article(BODY, "d")
+
+
+def test_article_in_a_form():
+    page = f"<body><form action=x>{LEAD}<div><h1>Title</h1><p>{BODY}</p><p>{BODY}</p><input name=q><button>Send</button></div></form></body>"
+    assert extraction.extract(page) == article("Title", BODY, BODY)
+    assert extraction.extract(f"<article><p>{BODY}</p><form><p>Your name, please.</p></form></article>") == BODY
+
+
+def test_comments_go_inside_and_outside():
+    note = f"<div class=comments><p>I disagree, said a reader. {BODY}</p></div>"
+    assert extraction.extract(f"<body><article><p>{BODY}</p><p>{BODY}</p>{note}</article>{note}</body>") == article(BODY, BODY)
+
+
+def test_unbalanced_quotes_and_odd_attributes():
+    for tag in ("<p title='it's'>", '<p class="x>', "<p class='x>", '<p title="a > b" data-x=\'<b>\'>', "<p title=\">", "<p a='b'c>"):
+        assert extraction.extract(f"<article>{tag}{BODY}</p><p class=\"y\">{BODY}</p></article>") == article(BODY, BODY), tag
+
+
+def test_deep_trees_are_read_in_time():
+    for open_ in ("<div>", "<b>", '<b class="x y">', "<p><b>", "<table><tr><td>"):
+        start = time.process_time()
+        assert extraction.extract(f"<article><p>{BODY}</p>" + open_ * 3000 + f"{BODY}</article>").startswith(BODY)
+        assert extraction.extract(open_ * 20_000 + "</i></i>" * 20_000 + BODY) == BODY
+        assert time.process_time() - start < 10
+
+
 def truth(page):
     """The article's paragraphs, for pages of the synthetic table."""
     inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
