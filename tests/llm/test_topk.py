@@ -4,6 +4,7 @@ import math
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,7 +58,40 @@ def test_blocks_and_segments_stop_on_proof(spark, monkeypatch):
     assert search(spark, rows) == brute(rows, 5)
 
 
-def spark_float(v):
-    import numpy as np
+def test_segments_are_skipped_and_few_pairs_are_rescored(spark):
+    """Counters over the largest table, as one task with blocks in turn: proof stops queries early."""
+    rows = topk.usable(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).orderBy("vec_id").toPandas()
+    x, ids = np.stack(rows["q"]), rows["vec_id"].to_numpy()
+    q, q_ids = x[ids % 50 == 0], ids[ids % 50 == 0]
+    block = topk.Block(x)
+    assert len(block.segments) > 5 and all(len(set(v)) >= 1 for lists, _ in block.segments for _, _, v in lists)
+    impacts = [np.abs(np.concatenate([v for _, _, v in lists])) for lists, _ in block.segments]
+    assert all(a.min() >= b.max() for a, b in zip(impacts, impacts[1:], strict=False))
+    qi, ri, scores, done = topk.search_block(block, ids, q, q_ids, 5, np.full(len(q), -np.inf))
+    assert len(qi) < 0.01 * len(q) * len(x) and done < 0.97 * np.count_nonzero(x) * len(q)
+    full = q @ x.T
+    full[q_ids[:, None] == ids[None, :]] = -np.inf
+    for i in range(len(q)):
+        assert set(np.argsort(-full[i], kind="stable")[:5]) <= set(ri[qi == i])
+    assert (scores == full[qi, ri]).all()
+    # with the floor that earlier blocks give, queries stop sooner
+    floor = np.sort(full, axis=1)[:, -5]
+    again = topk.search_block(block, ids, q, q_ids, 5, floor)
+    assert again[3] < done and len(again[0]) < 0.01 * len(q) * len(x)
+
+
+def test_large_and_sparse_vectors(spark):
+    r = random.Random(8)
+    rows = [(i, [0.0 if r.random() < 0.8 else r.randrange(-(10**7), 10**7) / 4 for _ in range(20)]) for i in range(400)]
+    rows = [(i, spark_float(v)) for i, v in rows]
+    assert search(spark, rows) == brute(rows, 5)
+
 
+def test_clashing_columns(spark):
+    v = spark.createDataFrame([(i, [float(i)], 1, 2, "q", 3) for i in range(4)], "vec_id long, embedding array<float>, query_id int, rank int, q string, score int")
+    u = topk.usable(v)
+    assert sorted(tuple(r) for r in topk.search(u, u.where("vec_id = 0"), 2).collect()) == [(0, 1, 1, 0), (0, 2, 2, 0)]
+
+
+def spark_float(v):
     return [float(x) for x in np.array(v, dtype=np.float32)]
