@@ -1,10 +1,11 @@
-"""Line deduplication with a log-template tree.
+"""Line deduplication with a log-template tree of fixed depth.
 
-A line's path in the tree is its token count and its first ``DEPTH`` tokens, after tokens with digits
+A line goes down the tree by its token count and its leading token, after tokens with digits
 are masked as variable.  Tokens stand between blanks; in scripts written without blanks each character is one.
-A line of one token is its own template, digits and all.  Below that, templates generalise one variable field: the rest of the
-line is cut in four fields, and a template leaves one of them open (or none), so lines that
-differ in a single field meet in one template, whatever order they come in.
+A line of one token is its own template, digits and all.  At the leaf the rest of the line is cut in four fields, and
+lines merge into templates: all fields fixed, one left open if at least ``FIXED_BY_ONE`` tokens stay fixed, two
+left open, wherever they are, if at least ``FIXED_BY_TWO`` do.  A template is numbered by its leaf and its fixed fields, so
+lines meet in it whatever order they come in, and lines of other leaves are passed by when templates are looked up.
 
 A template recurs if it stands in at least ``CONTEXTS`` different documents.  Copies of a document, exact
 or near, don't count as different: two min-hashes of a document's word shingles tell it from others, and
@@ -20,6 +21,7 @@ count as copies; an empty table gives no rows; the columns of documents are retu
 from __future__ import annotations
 
 import re
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neardup import BROADCAST_IDS, K1, K2, K3, blocks, near_duplicates, word_hashes
+from .neardup import BROADCAST_IDS, K1, K2, K3, blocks, in_steps, near_duplicates, word_hashes
 from .shared import GOLD, arrow_schema, mix64, small_batches, staged
 
-DEPTH = 2
 FIELDS = 4
-#: Tokens from which on a template may leave a field open.
-OPEN_FROM = 8
+#: Tokens that a template with one and with two open fields fixes at least.
+FIXED_BY_ONE, FIXED_BY_TWO = 3, 8
+#: Bits of a template's number that are its leaf's.
+LEAF_BITS = 24
 CONTEXTS = 5.0
 #: Recurring templates that are broadcast at most; more are joined by shuffle.
 BROADCAST_TEMPLATES = 1_000_000
@@ -55,18 +58,48 @@ def tokens(line: str, cut: bool = True) -> list[str]:
     return ["\0" if DIGIT.search(w) else w for w in words] if len(words) > 1 and DIGIT.search(line) else words
 
 
-def templates(words: list[str]) -> list[int]:
-    """Hashes of the templates that a line belongs to: all fields fixed, then each one open."""
-    n = len(words)
-    if not n:
-        return []
-    h = xxhash.xxh3_64_intdigest
-    out = [h("\1".join(words), n)]
-    if n >= OPEN_FROM:
-        rest = n - DEPTH
-        cuts = [DEPTH + rest * i // FIELDS for i in range(FIELDS + 1)]
-        out += [h("\1".join(words[: cuts[i]]) + "\2" + "\1".join(words[cuts[i + 1] :]), n * 8 + i + 1) for i in range(FIELDS)]
-    return out
+#: Open fields of the templates of a line.
+OPEN = [(), *((i,) for i in range(FIELDS)), *combinations(range(FIELDS), 2)]
+
+
+class Lines:
+    """The lines of some texts that have tokens: text and line number, token count, leaf, and their words."""
+
+    def __init__(self, texts: list[str]):
+        text_of, line_of, count, leaf, self.words = [], [], [], [], []
+        h = xxhash.xxh3_64_intdigest
+        for t, text in enumerate(texts):
+            cut = unspaced(text)
+            for i, x in enumerate(text.split("\n")):
+                if words := tokens(x, cut):
+                    n = len(words)
+                    text_of.append(t)
+                    line_of.append(i)
+                    count.append(n)
+                    leaf.append(h(words[0], n))
+                    self.words.append(words)
+        self.text, self.line, self.count = np.array(text_of, dtype=np.int64), np.array(line_of, dtype=np.int64), np.array(count, dtype=np.int64)
+        self.leaf = np.array(leaf, dtype=np.uint64) >> np.uint64(64 - LEAF_BITS)
+
+    def templates(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the chosen lines: which one, and the number of a template of it, for all their templates."""
+        h = xxhash.xxh3_64_intdigest
+        fields, ends = [], np.array([[1 + (n - 1) * i // FIELDS for i in range(FIELDS + 1)] for n in self.count[chosen].tolist()], dtype=np.int64).reshape(-1, FIELDS + 1)
+        for k, cuts in zip(chosen.tolist(), ends.tolist(), strict=True):
+            words = self.words[k]
+            fields.append([h("\1".join(words[a:z])) for a, z in zip(cuts, cuts[1:], strict=False)])
+        size, n = np.diff(ends, axis=1), self.count[chosen]
+        with np.errstate(over="ignore"):
+            part = mix64(np.array(fields, dtype=np.uint64).reshape(-1, FIELDS) + np.arange(1, FIELDS + 1, dtype=np.uint64) * K1)
+            whole = part.sum(axis=1, dtype=np.uint64)
+            which, forms = [], []
+            for number, open_ in enumerate(OPEN):
+                fixed = n - sum(size[:, i] for i in open_)
+                ok = (fixed >= (1, FIXED_BY_ONE, FIXED_BY_TWO)[len(open_)]) & np.logical_and.reduce([size[:, i] > 0 for i in open_] or [np.ones(len(n), dtype=bool)])
+                left = whole[ok] - sum((part[ok, i] for i in open_), np.zeros(int(ok.sum()), dtype=np.uint64))
+                which.append(chosen[ok])
+                forms.append(self.leaf[chosen[ok]] << np.uint64(64 - LEAF_BITS) | mix64(left + np.uint64(number) * K2) >> np.uint64(LEAF_BITS))
+        return np.concatenate(which), np.concatenate(forms).astype(np.int64)
 
 
 def signed(x: list[int]) -> np.ndarray:
@@ -75,13 +108,30 @@ def signed(x: list[int]) -> np.ndarray:
 
 def document_templates(text: str) -> tuple[list[int], list[int]]:
     """Line numbers and templates of all lines."""
-    at, form = [], []
-    cut = unspaced(text)
-    for i, x in enumerate(text.split("\n")):
-        for f in templates(tokens(x, cut)):
-            at.append(i)
-            form.append(f)
-    return at, form
+    found = Lines([text])
+    which, forms = found.templates(np.arange(len(found.line)))
+    return found.line[which].tolist(), forms.tolist()
+
+
+class Tree:
+    """The recurring templates, by leaf."""
+
+    def __init__(self, forms: np.ndarray):
+        self.forms = np.sort(forms)
+        self.leaves = np.zeros(1 << LEAF_BITS, dtype=bool)
+        self.leaves[(self.forms.astype(np.uint64) >> np.uint64(64 - LEAF_BITS)).astype(np.int64)] = True
+
+    def recurring(self, texts: list[str]) -> list[set[int]]:
+        """The numbers of the lines of each text that have a recurring template."""
+        out: list[set[int]] = [set() for _ in texts]
+        found = Lines(texts)
+        chosen = np.flatnonzero(self.leaves[found.leaf.astype(np.int64)])
+        if len(chosen):
+            which, forms = found.templates(chosen)
+            at = np.minimum(np.searchsorted(self.forms, forms), len(self.forms) - 1)
+            for k in np.unique(which[self.forms[at] == forms]).tolist():
+                out[found.text[k]].add(int(found.line[k]))
+        return out
 
 
 def spaced(text: str) -> str:
@@ -111,14 +161,19 @@ def recurring(docs: DataFrame, contexts: float = CONTEXTS) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            ones, twos, forms = [], [], []
-            for t in b.column(1).to_pylist():
-                found = signed(list(set(document_templates(t)[1])))
-                one, two = sketch(t) if len(found) else (0, 0)
-                ones.append(one)
-                twos.append(two)
-                forms.append(found)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(signed(ones)), pa.array(signed(twos)), pa.array(forms, pa.list_(pa.int64()))], schema=schema)
+            texts = b.column(1).to_pylist()
+            for i, j in in_steps(texts):
+                found = Lines(texts[i:j])
+                which, forms = found.templates(np.arange(len(found.line)))
+                text = found.text[which]
+                order = np.lexsort((forms, text))
+                text, forms = text[order], forms[order]
+                new = np.concatenate([[True], (text[1:] != text[:-1]) | (forms[1:] != forms[:-1])])[: len(text)]
+                text, forms = text[new], forms[new]
+                ends = np.searchsorted(text, np.arange(j - i + 1)).astype(np.int32)
+                pairs = [sketch(t) if n else (0, 0) for t, n in zip(texts[i:j], np.diff(ends), strict=True)]
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(forms))
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], *(pa.array(signed(c)) for c in zip(*pairs, strict=True)), lists], schema=schema)
 
     held = staged(texts.mapInArrow(run, ddl), "line-forms")
     rows = held.select("one", "two", F.explode("forms").alias("form"))
@@ -171,10 +226,11 @@ def drop_recurring(docs: DataFrame, contexts: float = CONTEXTS, broadcast_templa
     schema = arrow_schema(out)
     names = ["doc_id", "text", "lang", "source"]
 
-    def rows_of(b, decide):
+    def rows_of(b, drops):
+        """``drops``: of each row the line numbers that go."""
         texts, chars, lines, dropped = [], [], [], []
-        for k, t in enumerate(b.column(1).to_pylist()):
-            x, n, d = (None, 0, 0) if t is None else without(t, decide(k, t))
+        for t, drop in zip(b.column(1).to_pylist(), drops, strict=True):
+            x, n, d = (None, 0, 0) if t is None else without(t, drop)
             texts.append(x)
             chars.append(len(x or ""))
             lines.append(n)
@@ -182,17 +238,13 @@ def drop_recurring(docs: DataFrame, contexts: float = CONTEXTS, broadcast_templa
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), b.column(2), b.column(3), *(pa.array(c, pa.int64()) for c in (chars, lines, dropped))], schema=schema)
 
     if found.count() <= broadcast_templates:
-        held = spark.sparkContext.broadcast(np.sort(np.array([r[0] for r in found.collect()], dtype=np.int64)))
+        held = spark.sparkContext.broadcast(np.array([r[0] for r in found.collect()], dtype=np.int64))
 
         def run(batches):
-            known = set(held.value.tolist())
-
-            def decide(_, text):
-                at, form = document_templates(text)
-                return {i for i, f in zip(at, signed(form).tolist(), strict=True) if f in known}
-
+            tree = Tree(held.value)
             for b in batches:
-                yield rows_of(b, decide)
+                texts = [t or "" for t in b.column(1).to_pylist()]
+                yield rows_of(b, chain.from_iterable(tree.recurring(texts[i:j]) for i, j in in_steps(texts)))
 
         return base.select(*names).mapInArrow(run, out)
 
@@ -207,7 +259,7 @@ def drop_recurring(docs: DataFrame, contexts: float = CONTEXTS, broadcast_templa
                 keys += [xxhash.xxh3_128_digest(t)] * len(at)
                 at_all += at
                 forms += form
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(at_all, pa.int32()), pa.array(signed(forms))], schema=pair_schema)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(at_all, pa.int32()), pa.array(forms, pa.int64())], schema=pair_schema)
 
     texts = docs.where("text is not null").select(F.col("text").cast("string").alias("text"))
     drops = texts.mapInArrow(lines_of, ddl).join(found, "form", "left_semi").groupBy("key").agg(F.collect_set("line").alias("drops"))
@@ -221,7 +273,6 @@ def drop_recurring(docs: DataFrame, contexts: float = CONTEXTS, broadcast_templa
 
     def apply(batches):
         for b in batches:
-            drops = b.column(4).to_pylist()
-            yield rows_of(b, lambda k, _, drops=drops: set(drops[k] or ()))
+            yield rows_of(b, [set(x or ()) for x in b.column(4).to_pylist()])
 
     return base.select(*names).mapInArrow(key_of, keyed_ddl).join(drops, "key", "left").select(*names, "drops").mapInArrow(apply, out)
