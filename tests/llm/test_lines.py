@@ -1,6 +1,8 @@
 """Line dedup by log templates: planted templates, hot copies, defined results."""
 
+import itertools
 import random
+from collections import Counter
 
 import pytest
 
@@ -125,3 +127,46 @@ def test_query_keeps_every_row(spark, sf):
         have = iter(docs[r.doc_id].text.split("\n"))
         assert r.n_dropped == r.n_lines - (len(r.text.split("\n")) if r.n_dropped < r.n_lines else 0)
         assert r.n_dropped == r.n_lines or all(x in have for x in r.text.split("\n"))
+
+
+def brute_templates(line):
+    """All templates of a line, spelled out: count, leading token, and the other fields or None where open."""
+    words = ["\0" if any(c.isdigit() for c in w) else w for w in line.split()] if len(line.split()) > 1 else line.split()
+    n = len(words)
+    cuts = [1 + (n - 1) * i // 4 for i in range(5)]
+    fields = [tuple(words[a:z]) for a, z in zip(cuts, cuts[1:], strict=False)]
+    out = set()
+    for k in range(3):
+        for open_ in itertools.combinations(range(4), k):
+            if all(fields[i] for i in open_) and n - sum(len(fields[i]) for i in open_) >= (1, 3, 8)[k]:
+                out.add((n, words[0], *(None if i in open_ else f for i, f in enumerate(fields))))
+    return out
+
+
+def test_against_brute_force(spark):
+    """Documents without copies: a line goes if one of its templates stands in five of them."""
+    r = random.Random(11)
+    word = lambda: f"{r.choice('abcdef')}{r.choice('xyz')}"
+    common = [[word() for _ in range(n)] for n in (1, 2, 3, 4, 4, 5, 6, 7, 8, 9, 12, 15, 16, 18, 22, 30) for _ in range(2)]
+    rows = []
+    for i in range(120):
+        out = [" ".join(f"q{r.randrange(10**6):06d}".translate(str.maketrans("0123456789", "ghijklmnop")) for _ in range(10)) for _ in range(8)]
+        for _ in range(4):
+            line = list(r.choice(common))
+            for _ in range(r.randrange(3)):
+                line[r.randrange(len(line))] = r.choice([word(), "val" + word(), str(r.randrange(99))])
+            out.insert(r.randrange(len(out)), " ".join(line))
+        rows.append((i, "\n".join(out)))
+    per = {i: [brute_templates(x) for x in t.split("\n")] for i, t in rows}
+    counts = Counter(x for found in per.values() for x in set().union(*found))
+    want = {i: "\n".join(x for x, found in zip(t.split("\n"), per[i], strict=True) if not any(counts[f] >= 5 for f in found)) for i, t in rows}
+    assert {r.doc_id: r.text for r in run(spark, rows)} == want
+    assert 100 < sum(x.count("\n") + 1 for x in want.values()) < 0.9 * sum(t.count("\n") + 1 for _, t in rows)
+
+
+@pytest.mark.parametrize("form", ["user {0} logged in", "user {0} logged in again", "a report of {0} on the state of all things that were seen in the {1} near the old town of them"])
+def test_fields_of_any_line(spark, form):
+    """Names that vary, in short lines too, and two of them in different places of a long one."""
+    names = [chr(97 + i // 26) + chr(97 + i % 26) + "o" for i in range(60)]
+    rows = list(enumerate(texts(9, put=lambda i: form.format(names[i], names[59 - i]))))
+    assert all(r.n_dropped == 1 for r in run(spark, rows))
