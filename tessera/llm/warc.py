@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from .shared import arrow_schema, new_folder, small_batches
 
-SEGMENT_BYTES = 64 * 1024
-CHUNK_BYTES = 16 * 1024
-#: Records per archive file; a reader holds one compressed file.
+SEGMENT_BYTES = 8 * 1024
+CHUNK_BYTES = 2 * 1024
+#: Records per archive file; a record is hardly longer than a segment, so a file that a reader holds is below 64 MB.
 RECORDS_PER_FILE = 4096
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"

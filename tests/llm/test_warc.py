@@ -33,6 +33,19 @@ def test_against_duckdb(spark, d):
     assert sorted(tuple(r[n] for n in names) for r in got.collect()) == sorted(want.fetchall())
 
 
+def test_query_has_segments_to_reassemble(spark, tmp_path):
+    """With the query's own parameters long pages come as continuation records, and archives stay small."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    warc.write_warc(pages, f"file://{tmp_path}/a")
+    records = warc.read_records(spark, f"file://{tmp_path}/a")
+    assert records.where("record_type = 'continuation'").count() >= 10
+    assert warc.reassemble(records).count() == pages.count()
+    long = spark.createDataFrame([(i, "u", "x" * 3_000_000 + str(i)) for i in range(12)], "page_id long, url string, html string").repartition(1)
+    warc.write_warc(long, f"file://{tmp_path}/b")
+    assert max(len(gzip.decompress(f.read_bytes())) for f in (tmp_path / "b").glob("*.gz")) < 64e6
+    assert sorted(r.payload_bytes for r in warc.reassemble(warc.read_records(spark, f"file://{tmp_path}/b")).collect()) == [3_000_001] * 10 + [3_000_002] * 2
+
+
 ODD = [(1, "u", "abc"), (2, "u\r\nX: y", "abc"), (3, None, None), (4, "v", ""), (5, "w", "äöü€😀\r\n\r\n" * 300), (5, "w", "äöü€😀\r\n\r\n" * 300), (None, "n", "only"), (9, "x", "\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\n")]
 
 
