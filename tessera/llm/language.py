@@ -1,13 +1,15 @@
 """Language identification by string kernels.
 
-The kernel counts the character n-grams (n = 1 to 3, hashed into 2^18 places) that two texts
+The kernel counts the character n-grams (n = 1 to 3, hashed into at most 2^18 places) that two texts
 share, by presence, normalised by the geometric mean of their own counts.  Landmarks
 (a few texts per language) give a Nyström feature map; one-versus-rest kernel ridge
 regression is solved in that space.  Feature map and weights fold into one matrix from
 n-grams to languages, so a batch of texts is scored by one matrix product.
 
-The classifier is fitted on a bounded sample: about ``per_language`` rows per language,
-chosen by a hash of the id.  Prediction reads every whole text.
+The classifier is fitted on a bounded sample: about ``per_language`` rows per language, ``ROWS`` in all,
+chosen by a hash of the id; every language is learned.  With very many languages there are fewer rows and landmarks of each
+(one at least) and fewer places, so that the matrices keep their bound; they are worked through in slices of places.
+Prediction reads every whole text.
 
 Whether a text is in a learned language at all is told by evidence: how many of its n-grams the language's
 landmarks hold, and the margin to the second-best language.  Both bounds are the least that labelled rows
@@ -32,8 +34,12 @@ BITS = 18
 PER_LANGUAGE = 250
 LANDMARKS = 40
 RIDGE = 1e-2
-#: Most distinct languages that are learned, the commonest first.
-LANGUAGES = 500
+#: Rows and landmarks in all, and cells of the matrix from places to languages, at most (but one row of each language).
+ROWS, LANDMARK_ROWS, CELLS_BITS = 50_000, 2_000, 26
+#: Places that are worked through at once in fitting.
+SLICE = 1 << 13
+#: Languages whose shares of the sample are broadcast at most; more are joined by shuffle.
+BROADCAST_LANGUAGES = 100_000
 UND = "und"
 #: Code points whose n-grams are hashed at once.
 STEP = 1 << 20
@@ -48,14 +54,14 @@ def letters() -> np.ndarray:
     return _letters[0]
 
 
-def grams(text: str) -> list[np.ndarray]:
+def grams(text: str, bits: int = BITS) -> list[np.ndarray]:
     """Hashes of the 1- to 3-grams of the text, in pieces; runs of other characters count as blanks."""
     out = []
     codes = letters()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")]
     for i in range(0, len(codes), STEP):
         c = codes[i : i + STEP + 2]
         a = c * np.uint32(0x9E3779B1)
-        shift = np.uint32(32 - BITS)
+        shift = np.uint32(32 - bits)
         out.append(a >> shift)
         if len(c) > 1:
             b = (a[:-1] ^ (c[1:] + np.uint32(0x85EBCA6B))) * np.uint32(0xC2B2AE35)
@@ -72,12 +78,12 @@ def has_letter(text: str | None) -> bool:
 class Presence:
     """A reusable presence table over the hash places."""
 
-    def __init__(self):
-        self.table = np.zeros(1 << BITS, dtype=bool)
+    def __init__(self, bits: int = BITS):
+        self.bits, self.table = bits, np.zeros(1 << bits, dtype=bool)
 
     def __call__(self, text: str, places: np.ndarray | None = None) -> tuple[np.ndarray, int]:
         """Presence at ``places`` (without: the places present), and how many there are."""
-        found = grams(text)
+        found = grams(text, self.bits)
         for g in found:
             self.table[g] = True
         n = int(np.count_nonzero(self.table))
@@ -93,6 +99,7 @@ class LanguageModel:
     places: np.ndarray
     weights: np.ndarray  # places x languages
     held: np.ndarray  # places x languages: landmarks with the place, 2 at most
+    bits: int = BITS
 
     def predict(self, texts: list[str | None], presence: Presence) -> tuple[list[str], np.ndarray]:
         return self.evidence(texts, presence, 0)[:2]
@@ -122,65 +129,94 @@ class LanguageModel:
         return labels, scores, cover, margin, size
 
 
-def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> LanguageModel:
-    """Fit on (language, places present); the first ``landmarks`` rows of each language are the landmarks."""
+def bits_for(languages: int) -> int:
+    """Bits of the hash places, so that places x languages stays within the bound."""
+    return max(8, min(BITS, CELLS_BITS - max(0, languages - 1).bit_length()))
+
+
+def fit(rows: list[tuple[str, np.ndarray]], landmarks: int = LANDMARKS, ridge: float = RIDGE, bits: int = BITS) -> LanguageModel:
+    """Fit on (language, places present, sorted); the first ``landmarks`` rows of each language are the landmarks."""
     rows = [(lang, p) for lang, p in rows if len(p)]
     languages = sorted({lang for lang, _ in rows})
     if not languages:
-        return LanguageModel([], np.zeros(0, dtype=np.int64), np.zeros((0, 0), dtype=np.float32), np.zeros((0, 0), dtype=np.uint8))
+        return LanguageModel([], np.zeros(0, dtype=np.int64), np.zeros((0, 0), dtype=np.float32), np.zeros((0, 0), dtype=np.uint8), bits)
+    number = {lang: i for i, lang in enumerate(languages)}
+    landmarks = max(1, min(landmarks, LANDMARK_ROWS // len(languages)))
     seen: dict[str, int] = {}
     chosen, of = [], []
     for lang, p in rows:
         seen[lang] = seen.get(lang, 0) + 1
         if seen[lang] <= landmarks:
             chosen.append(p)
-            of.append(languages.index(lang))
-    places = np.unique(np.concatenate(chosen))
-    z = np.zeros((len(chosen), len(places)), dtype=np.float32)
+            of.append(number[lang])
+    present = np.zeros(1 << bits, dtype=bool)
+    for p in chosen:
+        present[p] = True
+    places = np.flatnonzero(present)
+    slices = [(i, min(i + SLICE, len(places))) for i in range(0, len(places), SLICE)]
+
+    def cells(texts: list[np.ndarray], a: int, z: int) -> np.ndarray:
+        """Presence of the places a to z in each text, divided by its norm."""
+        out = np.zeros((len(texts), z - a), dtype=np.float32)
+        for k, p in enumerate(texts):
+            own = p[np.searchsorted(p, places[a]) : np.searchsorted(p, places[z - 1], side="right")]
+            at = np.searchsorted(places[a:z], own)
+            at = at[(at < z - a) & (places[a:z][np.minimum(at, z - a - 1)] == own)]
+            out[k, at] = 1 / np.sqrt(len(p))
+        return out
+
+    texts, m = [p for _, p in rows], len(chosen)
+    kernel, x = np.zeros((m, m)), np.zeros((len(rows), m))
     held = np.zeros((len(places), len(languages)), dtype=np.uint8)
-    for k, p in enumerate(chosen):
-        at = np.searchsorted(places, p)
-        z[k, at] = 1 / np.sqrt(len(p))
-        held[at, of[k]] = np.minimum(held[at, of[k]] + 1, 2)
-    x = np.zeros((len(rows), len(chosen)), dtype=np.float64)
-    for k, (_, p) in enumerate(rows):
-        i = np.searchsorted(places, p)
-        ok = (i < len(places)) & (places[np.minimum(i, len(places) - 1)] == p)
-        x[k] = z[:, i[ok]].sum(axis=1) / np.sqrt(len(p))
-    w, v = np.linalg.eigh((z @ z.T).astype(np.float64))
+    for a, z in slices:
+        own = cells(chosen, a, z)
+        kernel += own @ own.T
+        for i in range(0, len(texts), 1024):
+            x[i : i + 1024] += cells(texts[i : i + 1024], a, z) @ own.T
+        for k, lang in enumerate(of):
+            held[a:z, lang] = np.minimum(held[a:z, lang] + (own[k] > 0), 2)
+    w, v = np.linalg.eigh(kernel)
     root = v[:, w > 1e-8 * w.max()] / np.sqrt(w[w > 1e-8 * w.max()])
     phi = x @ root
-    y = np.where(np.array([[lang == k for k in languages] for lang, _ in rows]), 1.0, -1.0)
+    y = np.full((len(rows), len(languages)), -1.0)
+    y[np.arange(len(rows)), [number[lang] for lang, _ in rows]] = 1.0
     # rows weigh so that every language counts alike
     share = np.array([1 / seen[lang] for lang, _ in rows]) * len(rows) / len(languages)
     alpha = np.linalg.solve(phi.T @ (phi * share[:, None]) + ridge * len(rows) / len(languages) * np.eye(phi.shape[1]), phi.T @ (y * share[:, None]))
-    return LanguageModel(languages, places, (z.T @ (root @ alpha)).astype(np.float32), held)
+    beta, weights = (root @ alpha).astype(np.float32), np.zeros((len(places), len(languages)), dtype=np.float32)
+    for a, z in slices:
+        weights[a:z] = cells(chosen, a, z).T @ beta
+    return LanguageModel(languages, places, weights, held, bits)
 
 
-def sample_by_hash(df: DataFrame, key: str, of: str, per_value: int, limit: int) -> DataFrame:
-    """About ``per_value`` rows of each of the ``limit`` commonest values of ``of``, by a hash of ``key``."""
-    counts = df.groupBy(of).count().orderBy(F.desc("count"), of).limit(limit).collect()
+def sample_by_hash(df: DataFrame, key: str, of: str, counts: list, per_value: int) -> DataFrame:
+    """About ``per_value`` rows of each value of ``of`` (at least one is expected of each), by a hash of ``key``."""
+    if not counts:
+        return df.limit(0)
+    bounds = df.sparkSession.createDataFrame([(r[of], int(min(1.0, per_value / r["count"]) * (1 << 30))) for r in counts], f"`{of}` string, _bound long")
     place = F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(1 << 30))
-    bound = F.create_map(*[F.lit(x) for r in counts for x in (r[of], int(min(1.0, per_value / r["count"]) * (1 << 30)))]) if counts else None
-    return df.where(place < F.element_at(bound, F.col(of))) if counts else df.limit(0)
+    return df.join(F.broadcast(bounds) if len(counts) <= BROADCAST_LANGUAGES else bounds, of).where(place < F.col("_bound"))
 
 
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE, landmarks: int = LANDMARKS) -> LanguageModel:
     """Fit on rows (doc_id, text, lang) with a language; texts become places on the executors."""
     small_batches(labelled.sparkSession)
-    chosen = sample_by_hash(labelled.where("lang is not null"), "doc_id", "lang", per_language, LANGUAGES)
+    known = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
+    counts = known.groupBy("lang").count().collect()
+    chosen = sample_by_hash(known, "doc_id", "lang", counts, max(1, min(per_language, ROWS // max(1, len(counts)))))
+    bits = bits_for(len(counts))
     ddl = "doc_id long, lang string, places array<int>"
     schema = arrow_schema(ddl)
 
     def run(batches):
-        presence = Presence()
+        presence = Presence(bits)
         for b in batches:
             places = [presence(t or "")[0].astype(np.int32) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(places, pa.list_(pa.int32()))], schema=schema)
 
-    rows = chosen.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).mapInArrow(run, ddl).toArrow()
+    rows = chosen.select("doc_id", "text", "lang").mapInArrow(run, ddl).toArrow()
     found = sorted(zip(rows["doc_id"].to_pylist(), rows["lang"].to_pylist(), (np.array(p.values if p.is_valid else [], dtype=np.int64) for p in rows["places"]), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1], len(r[2])))
-    return fit([(lang, p) for _, lang, p in found], landmarks)
+    return fit([(lang, p) for _, lang, p in found], landmarks, bits=bits)
 
 
 def predict(docs: DataFrame, model: LanguageModel, **extra: Column) -> DataFrame:
@@ -192,7 +228,7 @@ def predict(docs: DataFrame, model: LanguageModel, **extra: Column) -> DataFrame
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        presence = Presence()
+        presence = Presence(held.value.bits)
         for b in batches:
             labels, scores = held.value.predict(b.column(1).to_pylist(), presence)
             yield pa.RecordBatch.from_arrays([c for i, c in enumerate(b.columns) if i != 1] + [pa.array(labels, pa.string()), pa.array(scores)], schema=schema)
@@ -217,7 +253,7 @@ def calibrate(labelled: DataFrame, model: LanguageModel) -> dict[str, list[tuple
     shipped = labelled.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        presence = Presence()
+        presence = Presence(shipped.value.bits)
         for b in batches:
             labels, _, cover, margin, size = shipped.value.evidence(b.column(0).to_pylist(), presence, 2)
             rows = [(a, size_class(n), c, m) for a, lang, c, m, n in zip(labels, b.column(1).to_pylist(), cover, margin, size, strict=True) if a == lang and n]
@@ -252,9 +288,9 @@ def accepted(docs: DataFrame, model: LanguageModel, bounds: dict[str, list[tuple
     shipped = docs.sparkSession.sparkContext.broadcast((model, bounds))
 
     def run(batches):
-        presence = Presence()
+        known, least = shipped.value
+        presence = Presence(known.bits)
         for b in batches:
-            known, least = shipped.value
             labels, _, cover, margin, size = known.evidence(b.column(place).to_pylist(), presence, 1)
             yield b.filter(pa.array([evident(least, *x) for x in zip(labels, cover, margin, size, strict=True)], pa.bool_()))
 

@@ -38,14 +38,42 @@ def test_defined_results(spark):
     assert {r.lang_pred for r in language.predict(docs, nothing).collect()} == {"und"}
 
 
-def test_scores_equal_the_kernel_expansion(spark):
-    """The folded matrix gives what landmarks and Nystroem coordinates give."""
+def test_scores_equal_the_kernel_expansion(monkeypatch):
+    """The folded matrix gives what the kernel with the landmarks and the regression in their span give, written out."""
     p = language.Presence()
-    texts = [(k, f"{t} {w}") for k, t in SAMPLE.items() for w in ("ab", "cde", "fg")]
-    rows = [(k, p(t)[0]) for k, t in texts]
+    texts = [(k, f"{t} {w}") for k, t in SAMPLE.items() for w in ("ab", "cde", "fg", "hij klm", "n")]
+    rows = [(k, p(t)[0].astype(np.int64)) for k, t in texts]
+    monkeypatch.setattr(language, "SLICE", 64)
     model = language.fit(rows, landmarks=2)
-    labels, scores = model.predict([t for _, t in texts], p)
-    assert labels == [k for k, _ in texts] and (scores > 0.5).all()
+    kernel = lambda a, b: len(set(a) & set(b)) / np.sqrt(len(a) * len(b))
+    landmarks = [x for k in SAMPLE for x in [r for lang, r in rows if lang == k][:2]]
+    g = np.array([[kernel(a, b) for b in landmarks] for a in landmarks])
+    c = np.array([[kernel(a, b) for b in landmarks] for _, a in rows])
+    y = np.array([[1.0 if lang == k else -1.0 for k in SAMPLE] for lang, _ in rows])
+    # ridge regression on Nystroem features c g^-1/2 is, in coefficients of the landmarks: (c'c + ridge g) beta = c'y
+    beta = np.linalg.solve(c.T @ c + language.RIDGE * len(rows) / len(SAMPLE) * g, c.T @ y)
+    asked = [t for _, t in texts] + ["the dog", "el perro cruza", "собака"]
+    want = np.array([[kernel(p(t)[0], b) for b in landmarks] for t in asked]) @ beta
+    labels, scores = model.predict(asked, p)
+    assert labels == [list(SAMPLE)[i] for i in want.argmax(axis=1)]
+    assert np.allclose(scores, np.clip((want.max(axis=1) + 1) / 2, 0, 1), atol=1e-4)
+
+
+def test_any_number_of_languages(spark):
+    """All languages are learned, and the matrices keep their bound."""
+    learn = spark.createDataFrame([(i, " ".join(f"{chr(0x4E00 + 3 * (i % 700))}{chr(0x4E01 + 3 * (i % 700))}{w}" for w in "abc"), f"l{i % 700}") for i in range(2800)], "doc_id long, text string, lang string")
+    model = language.train(learn)
+    assert len(model.languages) == 700 and model.bits < language.BITS and model.weights.size <= 1 << language.CELLS_BITS
+    rows = language.predict(learn.where("doc_id < 700"), model, lang=F.col("lang")).collect()
+    assert np.mean([r.lang == r.lang_pred for r in rows]) > 0.97
+    assert language.bits_for(1) == language.bits_for(256) == 18 and language.bits_for(500) == 17
+
+
+def test_clashing_columns_of_the_stage(spark):
+    docs = spark.createDataFrame([(1, SAMPLE["aa"], "aa", 3.0, "x"), (2, "12", "aa", 1.0, "y")], "doc_id long, text string, lang string, score double, lang_pred string")
+    model = language.train(docs)
+    kept = language.accepted(docs, model, {})
+    assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1]
 
 
 def test_inputs_are_text_only(spark, sf):
