@@ -10,21 +10,25 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows per Arrow batch handed to Python; long documents make larger batches a memory risk.
 BATCH_ROWS = 256
+#: A key is hot with more than such a share of all rows, and with so many rows at least.
+HOT_KEYS, HOT_LEAST = 20_000, 256
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests) a local folder is made.
+    Only on one machine (tests) a local folder is made where ``spark.checkpoint.dir`` is unset.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -58,6 +62,20 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def salted_join(big: DataFrame, small: DataFrame, on: str, rows: int, spread: Column, how: str = "inner") -> DataFrame:
+    """``big`` joined to ``small``, which has one row for each value of ``on`` and ``_count``, the rows of ``big`` with it.
+
+    Values with more than a ``HOT_KEYS``-th of all ``rows`` are split by the hash ``spread``; there are at most ``HOT_KEYS`` of
+    them, so what is broadcast is bounded, and the copies of their rows in ``small`` are as few.
+    """
+    part = max(HOT_LEAST, rows // HOT_KEYS)
+    parts = F.ceil(F.col("_count") / part).cast("int")
+    hot = small.where(F.col("_count") > part).select(on, parts.alias("_parts"))
+    left = big.join(F.broadcast(hot), on, "left").withColumn("_salt", F.coalesce(F.pmod(spread, F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1))).drop("_count")
+    return left.join(copies, [on, "_salt"], how).drop("_salt")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package's source to the Python workers, once a session, so that no installation is needed."""
     sc = spark.sparkContext
