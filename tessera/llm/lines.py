@@ -8,7 +8,7 @@ left open, wherever they are, if at least ``FIXED_BY_TWO`` do.  A template is nu
 lines meet in it whatever order they come in, and lines of other leaves are passed by when templates are looked up.
 
 A template recurs if it stands in at least ``CONTEXTS`` different documents.  Copies of a document, exact
-or near, don't count as different: two min-hashes of a document's word shingles tell it from others, and
+or near, don't count as different: two min-hashes of a document's windows of words tell it from others, and
 an edit seldom changes both.  Documents are counted as the inverse Simpson index of the pairs of
 min-hashes; where a large group of copies outweighs the rest in that index, the documents with the template
 are compared and counted exactly, as components of near-duplicates (five-word shingles, 80 per cent).  Lines with
@@ -29,12 +29,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .neardup import BROADCAST_IDS, K1, K2, K3, blocks, in_steps, near_duplicates, word_hashes
+from .neardup import BROADCAST_IDS, K1, K2, K3, SEPARATOR, in_steps, near_duplicates
 from .shared import GOLD, arrow_schema, mix64, small_batches, staged
 
 FIELDS = 4
 #: Tokens that a template with one and with two open fields fixes at least.
 FIXED_BY_ONE, FIXED_BY_TWO = 3, 8
+#: Bytes of the windows whose min-hashes tell documents apart, and bytes that are looked at together.
+WINDOW, STEP = 24, 1 << 22
 #: Bits of a template's number that are its leaf's.
 LEAF_BITS = 24
 CONTEXTS = 5.0
@@ -49,7 +51,8 @@ TOKEN = re.compile(rf"(?!\d)[{UNSPACED}]|(?:[^\s{UNSPACED}]|\d)+")
 
 def unspaced(text: str) -> bool:
     """Whether the text has characters of a script without blanks."""
-    return not text.isascii() and CHARACTER.search(text) is not None
+    # the first of them takes three bytes in UTF-8
+    return not text.isascii() and np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8).max() >= 0xE0 and CHARACTER.search(text) is not None
 
 
 def tokens(line: str, cut: bool = True) -> list[str]:
@@ -82,7 +85,7 @@ class Lines:
         self.leaf = np.array(leaf, dtype=np.uint64) >> np.uint64(64 - LEAF_BITS)
 
     def templates(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the chosen lines: which one, and the number of a template of it, for all their templates."""
+        """Of the chosen lines: which one, and the number of a template of it, for all their most open templates."""
         h = xxhash.xxh3_64_intdigest
         fields, ends = [], np.array([[1 + (n - 1) * i // FIELDS for i in range(FIELDS + 1)] for n in self.count[chosen].tolist()], dtype=np.int64).reshape(-1, FIELDS + 1)
         for k, cuts in zip(chosen.tolist(), ends.tolist(), strict=True):
@@ -92,20 +95,19 @@ class Lines:
         with np.errstate(over="ignore"):
             part = mix64(np.array(fields, dtype=np.uint64).reshape(-1, FIELDS) + np.arange(1, FIELDS + 1, dtype=np.uint64) * K1)
             whole = part.sum(axis=1, dtype=np.uint64)
-            which, forms = [], []
-            for number, open_ in enumerate(OPEN):
+            which, forms, possible = [], [], []
+            for open_ in OPEN:
                 fixed = n - sum(size[:, i] for i in open_)
-                ok = (fixed >= (1, FIXED_BY_ONE, FIXED_BY_TWO)[len(open_)]) & np.logical_and.reduce([size[:, i] > 0 for i in open_] or [np.ones(len(n), dtype=bool)])
+                possible.append((fixed >= (1, FIXED_BY_ONE, FIXED_BY_TWO)[len(open_)]) & np.logical_and.reduce([size[:, i] > 0 for i in open_] or [np.ones(len(n), dtype=bool)]))
+            for number, open_ in enumerate(OPEN):
+                # what has a template has its more open ones as well, so only the most open ones are needed
+                ok = possible[number] & ~np.logical_or.reduce([possible[k] for k, more in enumerate(OPEN) if set(more) > set(open_)] or [np.zeros(len(n), dtype=bool)])
                 left = whole[ok] - sum((part[ok, i] for i in open_), np.zeros(int(ok.sum()), dtype=np.uint64))
                 which.append(chosen[ok])
                 forms.append(self.leaf[chosen[ok]] << np.uint64(64 - LEAF_BITS) | mix64(left + np.uint64(number) * K2) >> np.uint64(LEAF_BITS))
         return np.concatenate(which), np.concatenate(forms).astype(np.int64)
 
 
-def signed(x: list[int]) -> np.ndarray:
-    return np.array(x, dtype=np.uint64).astype(np.int64)
-
-
 def document_templates(text: str) -> tuple[list[int], list[int]]:
     """Line numbers and templates of all lines."""
     found = Lines([text])
@@ -139,17 +141,29 @@ def spaced(text: str) -> str:
     return CHARACTER.sub(r" \g<0> ", text) if unspaced(text) else text
 
 
-def sketch(text: str) -> tuple[int, int]:
-    """Two min-hashes of the text's word shingles; of all its words if there are fewer than three."""
-    low = []
-    text = spaced(text)
-    with np.errstate(over="ignore"):
-        for _, raw in blocks(np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8)):
-            h = word_hashes(raw)[1]
-            h = mix64(h[:-2] * K1 + h[1:-1] * K2 + h[2:] * K3) if len(h) > 2 else h
-            if len(h):
-                low.append((int(h.min()), int(mix64(h + GOLD).min())))
-    return (min(a for a, _ in low), min(b for _, b in low)) if low else (0, 0)
+def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Two min-hashes of each text's windows of ``WINDOW`` bytes that start with a word: about four words each; 0 without words."""
+    parts = [spaced(t).encode("utf-8", "surrogatepass").lower() + b" " * WINDOW for t in texts]
+    ends = np.cumsum([len(p) for p in parts])
+    joined = b" " + b"".join(parts) + b" " * WINDOW
+    raw = np.frombuffer(joined, dtype=np.uint8)
+    eights = np.ndarray(len(raw) - 7, dtype="<u8", buffer=joined, strides=(1,))
+    one, two = (np.full(len(texts), np.iinfo(np.uint64).max, dtype=np.uint64) for _ in range(2))
+    has = np.zeros(len(texts), dtype=bool)
+    for i in range(0, len(raw) - WINDOW, STEP):
+        blank = SEPARATOR[raw[i : min(i + STEP + 1, len(raw) - WINDOW)]]
+        start = i + 1 + np.flatnonzero(~blank[1:] & blank[:-1])
+        if len(start):
+            with np.errstate(over="ignore"):
+                h = mix64((eights[start] * K1 + eights[start + 8]) * K2 + eights[start + 16] * K3)
+                g = mix64(h + GOLD)
+            text = np.searchsorted(ends, start - 1, side="right")
+            first = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1]]))
+            at = text[first]
+            one[at] = np.minimum(one[at], np.minimum.reduceat(h, first))
+            two[at] = np.minimum(two[at], np.minimum.reduceat(g, first))
+            has[at] = True
+    return np.where(has, one, 0).astype(np.uint64), np.where(has, two, 0).astype(np.uint64)
 
 
 def recurring(docs: DataFrame, contexts: float = CONTEXTS) -> DataFrame:
@@ -171,9 +185,8 @@ def recurring(docs: DataFrame, contexts: float = CONTEXTS) -> DataFrame:
                 new = np.concatenate([[True], (text[1:] != text[:-1]) | (forms[1:] != forms[:-1])])[: len(text)]
                 text, forms = text[new], forms[new]
                 ends = np.searchsorted(text, np.arange(j - i + 1)).astype(np.int32)
-                pairs = [sketch(t) if n else (0, 0) for t, n in zip(texts[i:j], np.diff(ends), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(forms))
-                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], *(pa.array(signed(c)) for c in zip(*pairs, strict=True)), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([b.column(0)[i:j], *(pa.array(x.astype(np.int64)) for x in sketches(texts[i:j])), lists], schema=schema)
 
     held = staged(texts.mapInArrow(run, ddl), "line-forms")
     rows = held.select("one", "two", F.explode("forms").alias("form"))

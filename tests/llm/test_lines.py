@@ -170,3 +170,12 @@ def test_fields_of_any_line(spark, form):
     names = [chr(97 + i // 26) + chr(97 + i % 26) + "o" for i in range(60)]
     rows = list(enumerate(texts(9, put=lambda i: form.format(names[i], names[59 - i]))))
     assert all(r.n_dropped == 1 for r in run(spark, rows))
+
+
+def test_sketches_of_a_batch_are_those_of_its_texts(monkeypatch):
+    rows = ["", " ", "one", "one two three four five six seven", "ONE two three four five six seven", "中文字符", "x" * 100 + " y", *texts(4, 5)]
+    want = [tuple(int(c[0]) for c in lines.sketches([t])) for t in rows]
+    for step in (1 << 22, 64, 7):
+        monkeypatch.setattr(lines, "STEP", step)
+        assert list(zip(*(c.tolist() for c in lines.sketches(rows)), strict=True)) == want
+    assert want[0] == want[1] == (0, 0) and want[3] == want[4] and len(set(want)) == len(rows) - 2
