@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .neardup import BROADCAST_IDS, K1, K2, K3, SEPARATOR, in_steps, near_duplicates
-from .shared import GOLD, arrow_schema, mix64, small_batches, staged
+from .shared import GOLD, arrow_schema, mix64, scratch, small_batches, staged
 
 FIELDS = 4
 #: Tokens that a template with one and with two open fields fixes at least.
@@ -233,7 +233,8 @@ def drop_recurring(docs: DataFrame, contexts: float = CONTEXTS, broadcast_templa
     """
     spark = docs.sparkSession
     small_batches(spark)
-    found = staged(recurring(docs, contexts), "templates")
+    with scratch(spark) as keep:
+        found = keep(staged(recurring(docs, contexts), "templates"))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c) for c in ("lang", "source")])
     out = "doc_id long, text string, lang string, source string, n_chars long, n_lines long, n_dropped long"
     schema = arrow_schema(out)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import GOLD, arrow_schema, mix64, salted_join, small_batches, staged
+from .shared import GOLD, arrow_schema, mix64, salted_join, scratch, small_batches, staged
 
 PLACES = 128
 #: Bands and rows by the least similarity in per cent: the chance to miss a pair at the threshold is below 1e-6.
@@ -310,47 +310,49 @@ def link_classes(docs: DataFrame, signed: DataFrame, words: int, percent: int, l
     hold several components are open; their pairs in different components are compared unless
     exact bounds rule them out.
     """
-    classes = signed.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    rows = staged(classes.where("rep is not null").select("key", "rep", "n", F.explode("bands").alias("bucket")), "bands")
-    order = F.struct(F.xxhash64("key", "bucket"), "key", "n")
-    first = staged(rows.groupBy("bucket").agg(F.min(order).alias("f"), F.max(order).alias("g"), F.count(F.lit(1)).alias("_count")).where("f.key <> g.key"), "hubs")
-    members = salted_join(rows, first.select("bucket", F.array("f", "g").alias("hubs"), "_count"), "bucket", rows.count(), F.xxhash64("key"))
-    members = staged(members.select("bucket", "key", "rep", "n", "hubs"), "members")
-    ids = staged(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
-    sets = staged(full_sets(docs, ids, words).join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "sets")
-    alike = F.least("n", "n1") * 100 >= F.greatest("n", "n1") * percent
-    hubs = members.select("key", "n", F.explode("hubs").alias("h")).select("key", "n", F.col("h.key").alias("key1"), F.col("h.n").alias("n1"))
-    checked = staged(hubs.where((F.col("key") != F.col("key1")) & alike).select(F.greatest("key1", "key").alias("b"), F.least("key", "key1").alias("a")).distinct(), "pairs")
-    links = staged(confirmed(checked, sets, percent), "confirmed")
-    roots = staged(components(links, local_links), "roots")
-    now = members.join(roots, members["key"] == roots["node"], "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root"))
-    several = staged(now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("_count")).where("lo <> hi").select("bucket", "_count"), "several")
-    now = staged(salted_join(now, several, "bucket", members.count(), F.xxhash64("key"), "left_semi").select("key", "n", "root").distinct(), "open")
-    pairs = possible_pairs(now, sets, percent)
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(checked, ["a", "b"], "left_anti")
-    more = staged(confirmed(pairs, sets, percent), "confirmed")
-    return staged(components(links.unionByName(more), local_links), "roots")
+    with scratch(docs.sparkSession) as keep:
+        classes = signed.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+        rows = staged(classes.where("rep is not null").select("key", "rep", "n", F.explode("bands").alias("bucket")), "bands")
+        order = F.struct(F.xxhash64("key", "bucket"), "key", "n")
+        first = staged(rows.groupBy("bucket").agg(F.min(order).alias("f"), F.max(order).alias("g"), F.count(F.lit(1)).alias("_count")).where("f.key <> g.key"), "hubs")
+        members = salted_join(rows, first.select("bucket", F.array("f", "g").alias("hubs"), "_count"), "bucket", rows.count(), F.xxhash64("key"))
+        members = staged(members.select("bucket", "key", "rep", "n", "hubs"), "members")
+        ids = staged(members.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+        sets = staged(full_sets(docs, ids, words).join(members.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"]), "sets")
+        alike = F.least("n", "n1") * 100 >= F.greatest("n", "n1") * percent
+        hubs = members.select("key", "n", F.explode("hubs").alias("h")).select("key", "n", F.col("h.key").alias("key1"), F.col("h.n").alias("n1"))
+        checked = staged(hubs.where((F.col("key") != F.col("key1")) & alike).select(F.greatest("key1", "key").alias("b"), F.least("key", "key1").alias("a")).distinct(), "pairs")
+        links = staged(confirmed(checked, sets, percent), "confirmed")
+        roots = staged(components(links, local_links), "roots")
+        now = members.join(roots, members["key"] == roots["node"], "left").select("bucket", "key", "n", F.coalesce("root", "key").alias("root"))
+        several = staged(now.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("_count")).where("lo <> hi").select("bucket", "_count"), "several")
+        now = staged(salted_join(now, several, "bucket", members.count(), F.xxhash64("key"), "left_semi").select("key", "n", "root").distinct(), "open")
+        pairs = possible_pairs(now, sets, percent)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(checked, ["a", "b"], "left_anti")
+        more = staged(confirmed(pairs, sets, percent), "confirmed")
+        return keep(staged(components(links.unionByName(more), local_links), "roots"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, local_links: int = LOCAL_LINKS) -> DataFrame:
     """doc_id, n_shingles, component_id and kept (the document that names its component) of every row."""
-    bands, rows = next((b, r) for p, b, r in BANDS if percent >= p)
-    signed = staged(sign(docs, words, bands, rows), "signed")
-    roots = link_classes(docs, signed, words, percent, local_links)
-    own = signed.where("n_shingles > 0").select("doc_id", "key", "n_shingles")
-    named = own.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_count")).join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", "root", "_count")
-    # a component's name is the least id of its classes; roots themselves are not in ``roots``
-    groups = roots.groupBy("root").count().select("root")
-    in_group = named.join(groups.select(F.col("root").alias("own_root")), F.col("key") == F.col("own_root"), "left").withColumn("group", F.coalesce("root", "own_root"))
-    # classes of no group are alone; they stay out of the join, where they would be one key
-    in_group = staged(in_group.select("key", "rep", "group", F.col("_count").alias("_rows")), "in-group")
-    linked, alone = in_group.where("group is not null"), in_group.where("group is null").select("key", F.col("rep").alias("component_id"), F.col("_rows").alias("_count"))
-    names = staged(linked.groupBy("group").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("_count")), "names")
-    linked = salted_join(linked, names, "group", in_group.count(), F.xxhash64("key")).select("key", "component_id", F.col("_rows").alias("_count"))
-    of_class = staged(alone.unionByName(linked), "classes")
-    full = salted_join(own, of_class, "key", signed.count(), F.xxhash64("doc_id")).select("doc_id", "n_shingles", "component_id")
-    empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    with scratch(docs.sparkSession) as keep:
+        bands, rows = next((b, r) for p, b, r in BANDS if percent >= p)
+        signed = keep(staged(sign(docs, words, bands, rows), "signed"))
+        roots = link_classes(docs, signed, words, percent, local_links)
+        own = signed.where("n_shingles > 0").select("doc_id", "key", "n_shingles")
+        named = own.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("_count")).join(roots, F.col("key") == F.col("node"), "left").select("key", "rep", "root", "_count")
+        # a component's name is the least id of its classes; roots themselves are not in ``roots``
+        groups = roots.groupBy("root").count().select("root")
+        in_group = named.join(groups.select(F.col("root").alias("own_root")), F.col("key") == F.col("own_root"), "left").withColumn("group", F.coalesce("root", "own_root"))
+        # classes of no group are alone; they stay out of the join, where they would be one key
+        in_group = staged(in_group.select("key", "rep", "group", F.col("_count").alias("_rows")), "in-group")
+        linked, alone = in_group.where("group is not null"), in_group.where("group is null").select("key", F.col("rep").alias("component_id"), F.col("_rows").alias("_count"))
+        names = staged(linked.groupBy("group").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("_count")), "names")
+        linked = salted_join(linked, names, "group", in_group.count(), F.xxhash64("key")).select("key", "component_id", F.col("_rows").alias("_count"))
+        of_class = keep(staged(alone.unionByName(linked), "classes"))
+        full = salted_join(own, of_class, "key", signed.count(), F.xxhash64("doc_id")).select("doc_id", "n_shingles", "component_id")
+        empty = signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        return full.unionByName(empty).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
@@ -360,12 +362,18 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, broadcast_ids:
     doc_id stay.  Rows are joined to the ids that go or repeat, so what is kept is whole: up to
     ``broadcast_ids`` ids go to all tasks and no text is shuffled, more are joined by shuffle, once.
     """
-    marked = staged(near_duplicates(docs, words, percent), "marked")
-    gone = marked.where("not kept and doc_id is not null").select("doc_id").distinct().withColumn("_twice", F.lit(False))
-    twice = marked.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id", F.lit(True).alias("_twice"))
-    flags = staged(gone.unionByName(twice), "flags")
+    with scratch(docs.sparkSession) as keep:
+        marked = staged(near_duplicates(docs, words, percent), "marked")
+        flags = keep(staged(_flags(marked), "flags"))
     joined = docs.join(F.broadcast(flags) if flags.count() <= broadcast_ids else flags, "doc_id", "left")
     rest = joined.where("_twice is null").select(*docs.columns)
     if flags.where("_twice").isEmpty():
         return rest
     return rest.unionByName(joined.where("_twice").select(*docs.columns).dropDuplicates(["doc_id"]))
+
+
+def _flags(marked: DataFrame) -> DataFrame:
+    """Ids that go (``_twice`` false) and ids that stay but stand on several rows (true)."""
+    gone = marked.where("not kept and doc_id is not null").select("doc_id").distinct().withColumn("_twice", F.lit(False))
+    twice = marked.where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id", F.lit(True).alias("_twice"))
+    return gone.unionByName(twice)

@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 import numpy as np
@@ -35,12 +37,41 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one, removed when the driver exits."""
+    """A fresh folder below the shared one, removed at the end of the ``scratch`` block or when the driver exits."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     atexit.register(remove, spark, path)
+    if (own := _scratch.get()) is not None:
+        own.append(path)
     return path
 
 
+#: Folders that the innermost ``scratch`` block has made.
+_scratch: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Folders made in the block are removed at its end, but for those that ``keep`` (the block's value) was called on.
+
+    ``keep(staged(...))`` keeps the folder made last; it belongs to the block around, if any.
+    """
+    outer, own, kept = _scratch.get(), [], []
+    token = _scratch.set(own)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(own.pop())
+        return df
+
+    try:
+        yield keep
+    finally:
+        _scratch.reset(token)
+        for path in own:
+            remove(spark, path)
+        if outer is not None:
+            outer.extend(kept)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder of ``new_folder``; a stopped session makes this a no-op."""
     try:

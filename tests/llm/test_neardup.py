@@ -3,11 +3,12 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
 from tessera.llm import neardup
-from tessera.llm.queries import op3_neardup
+from tessera.llm.queries import NEARDUP_SQL, op3_neardup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -46,6 +47,14 @@ def test_query_against_brute_force(spark, sf):
     check(op3_neardup(spark, sf), brute(docs, 3, 85))
 
 
+def test_sql_against_brute_force(sf):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    docs = con.execute("SELECT doc_id, text FROM documents").fetchall()
+    got = {i: (n, c) for i, n, c, _ in con.execute(NEARDUP_SQL).fetchall()}
+    assert got == brute(docs, 3, 85)
+
+
 def planted(seed=1):
     r = random.Random(seed)
     words = [f"w{i}" for i in range(400)]

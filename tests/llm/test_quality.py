@@ -37,6 +37,33 @@ def walk(trees, x):
     return 1 / (1 + np.exp(-total))
 
 
+def test_first_split_against_all_splits():
+    """One tree of depth one takes the split of greatest gain among all thresholds between bins, and its leaves' steps."""
+    r = np.random.default_rng(4)
+    x = np.round(r.normal(size=(300, 4)), 1)
+    y = (x[:, 2] + 0.3 * r.normal(size=300) > 0.4).astype(float)
+    trees = quality.fit(x, y, trees=1, depth=1, rate=0.5, bins=10_000, l2=1.0, least=10)
+    g, h = y - y.mean(), y.mean() * (1 - y.mean())
+    gain, best = -1.0, None
+    for j in range(4):
+        for t in np.unique(x[:, j])[:-1]:
+            left = x[:, j] <= t
+            if 10 <= left.sum() <= 290:
+                own = sum(g[m].sum() ** 2 / (h * m.sum() + 1) for m in (left, ~left)) - g.sum() ** 2 / (h * 300 + 1)
+                if own > gain:
+                    gain, best = own, (j, left)
+    assert trees.feature[0, 0] == best[0] and ((x[:, best[0]] <= trees.threshold[0, 0]) == best[1]).all()
+    want = [0.5 * g[m].sum() / (h * m.sum() + 1) for m in (best[1], ~best[1])]
+    assert np.allclose(trees.value[0], want)
+
+
+def test_clashing_columns_of_the_stage(spark):
+    docs = spark.createDataFrame([(i, "A fair sentence stands here. Another one follows." if i % 2 else "|| ## 12 ||", 1.0, "s", 7) for i in range(60)], "doc_id long, text string, score double, stats string, quality int")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    kept = quality.keep_accepted(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id % 2 for r in kept.collect()} == {1}
+
+
 def test_arrays_walk_like_nodes():
     r = np.random.default_rng(1)
     x = r.normal(size=(600, 5)).astype(np.float32)
