@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import language, lines, neardup, packing, quality
 from tessera.llm.queries import tokenizer_path
-from tessera.llm.shared import crc_of_id, new_folder, table
+from tessera.llm.shared import crc_of_id, scratch, staged, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -59,10 +59,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again but the last."""
     docs = table(spark, sf_dir, "documents")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            path = new_folder(spark, f"pipeline-{name}")
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as keep:
+            docs = keep(staged(stage(spark, docs, sf_dir), f"pipeline-{name}"))
+    return STAGES[-1][1](spark, docs, sf_dir)
