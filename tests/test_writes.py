@@ -46,6 +46,16 @@ def test_commit_counts_and_keeps_untouched_files(spark, tmp_path):
     assert len(before & set(store.files("t", 1))) == 1 and len(content(uow(spark, SnapshotStore(spark, store.root + "x", store.seeds)))) == 10
 
 
+def test_many_keys_are_joined_by_shuffle(spark, tmp_path, monkeypatch):
+    """Beyond the broadcast bound a commit gives the same."""
+    monkeypatch.setattr("tessera.operators.uow.BROADCAST_KEYS", 0)
+    u = uow(spark, seeded(spark, tmp_path, [(i, 0) for i in range(10)]))
+    u.modify("t", {"id": 1, "x": 5})
+    u.remove("t", {"id": 2})
+    u.add("t", {"id": 10, "x": 1})
+    assert u.commit() == 3 and content(u) == sorted([(i, 5 if i == 1 else 0) for i in range(10) if i != 2] + [(10, 1)])
+
+
 def test_conflict_client_wins_and_gone_rows(spark, tmp_path):
     store = seeded(spark, tmp_path, [(1, 0), (2, 0)])
     a, b, c = (uow(spark, store) for _ in range(3))
